@@ -54,18 +54,16 @@ def tag_statistics(corpus: DataFrame) -> DataFrame:
 def tag_pair_counts(corpus: DataFrame) -> DataFrame:
     """How many rows hold both tags, for every pair tag1 < tag2 that occurs.
 
-    Pairs come from a row's own tag list, so no join is needed. Rows with the
-    same tag set are counted together before pairs are formed: a tag set shared
-    by a third of all rows is expanded once.
+    Pairs come from a row's own tag list, so there is no join; they are counted
+    before the one shuffle.
     """
     sets = (corpus.select("query_id", sorted_distinct(F.col("tags")).alias("tags"))
-            .where(F.size("tags") >= 2)
-            .groupBy("tags").agg(F.count("*").alias("rows"), F.min("query_id").alias("first_id")))
-    first = sets.select("rows", "first_id", "tags", F.posexplode("tags").alias("i", "tag1"))
+            .where(F.size("tags") >= 2))
+    first = sets.select("query_id", "tags", F.posexplode("tags").alias("i", "tag1"))
     rest = F.slice("tags", F.col("i") + 2, F.size("tags"))
-    pairs = first.select("rows", "first_id", "tag1", F.explode(rest).alias("tag2"))
+    pairs = first.select("query_id", "tag1", F.explode(rest).alias("tag2"))
     return pairs.groupBy("tag1", "tag2").agg(
-        F.sum("rows").alias("count"), F.min("first_id").alias("first_id"))
+        F.count("*").alias("count"), F.min("query_id").alias("first_id"))
 
 
 def tag_cooccurrence(corpus: DataFrame, top_n: int = 10) -> DataFrame:
