@@ -111,19 +111,19 @@ def duplicate_summary(rows: DataFrame) -> DataFrame:
 
 
 def remove_duplicates(corpus: DataFrame, mode: str = "hash") -> DataFrame:
-    """One row per group: the lowest query_id of equal normalised SQL.
+    """One row per group of equal normalised SQL: the one with the lowest id.
 
     'exact' compares the text, 'hash' its digest, 'structure' the digest of the
-    text with literals masked. The survivors are found on (key, id) alone and
-    the rows fetched by id, so the texts of the copies are never shuffled by key.
+    text with literals masked. Taking the minimum of the whole row needs one
+    pass, and a task sends one row per group on, however many copies it read.
     """
     if mode not in REMOVAL_MODES:
         raise ValueError(f"mode must be one of {REMOVAL_MODES}")
-    rows = structure_hashed(corpus) if mode == "structure" else hashed(corpus, "sql")
-    key = "normalized_text" if mode == "exact" else "hash"
-    # min over an id is combined before the shuffle, so a hot key is one row per task
-    survivors = rows.groupBy(key).agg(F.min("query_id").alias("query_id")).select("query_id")
-    return corpus.join(survivors, "query_id", "left_semi")
+    text = structure_text() if mode == "structure" else dedup_text("sql")
+    key = text if mode == "exact" else text_hash(text)
+    ordered = ["query_id", *[c for c in corpus.columns if c != "query_id"]]
+    return (corpus.groupBy(key.alias("key")).agg(F.min(F.struct(*ordered)).alias("row"))
+            .select("row.*").select(*corpus.columns))
 
 
 def duplication_by_cluster(clustered: DataFrame, mode: str = "sql") -> DataFrame:

@@ -74,11 +74,15 @@ def cluster_summary(profile: DataFrame) -> DataFrame:
 
 
 def cluster_terms(clustered: DataFrame, mode: str, stop_words: Sequence[str]) -> DataFrame:
-    """Term frequency per cluster, noise and stop words left out."""
-    words = (clustered.where(F.col("cluster") != NOISE)
-             .select("cluster", F.explode(tokens(keyword_text(mode))).alias("term")))
-    return (words.where(~F.col("term").isin(*stop_words))
-            .groupBy("cluster", "term").agg(F.count("*").alias("frequency")))
+    """Term frequency per cluster, noise and stop words left out.
+
+    A cluster with text but no term left keeps one row with a null term.
+    """
+    text = keyword_text(mode)
+    kept = F.filter(tokens(text), lambda t: ~t.isin(*stop_words))
+    return (clustered.where((F.col("cluster") != NOISE) & ~is_blank(text))
+            .select("cluster", F.explode_outer(kept).alias("term"))
+            .groupBy("cluster", "term").agg(F.count("term").alias("frequency")))
 
 
 def cluster_keywords(clustered: DataFrame, mode: str, top_n: int = KEYWORDS,
@@ -88,13 +92,8 @@ def cluster_keywords(clustered: DataFrame, mode: str, top_n: int = KEYWORDS,
     A cluster without any text is absent; one with only stop words gets an
     empty list.
     """
-    check_mode(mode)
-    present = (clustered.where((F.col("cluster") != NOISE) & ~is_blank(keyword_text(mode)))
-               .select("cluster").distinct())
-    ranked = _ranked(cluster_terms(clustered, mode, stop_words),
+    ranked = _ranked(cluster_terms(clustered, check_mode(mode), stop_words),
                      [F.desc("frequency"), F.col("term")], top_n)
-    # at most top_n terms per cluster
-    lists = ranked.groupBy("cluster").agg(
+    # at most top_n terms per cluster; collect_list leaves the null term out
+    return ranked.groupBy("cluster").agg(
         F.array_sort(F.collect_list("term")).alias("keywords"))
-    return present.join(lists, "cluster", "left").select(
-        "cluster", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
