@@ -244,27 +244,25 @@ def label_agreement(points: DataFrame) -> DataFrame:
 
 def cluster_metrics(points: DataFrame, mode: str = "semantic",
                     sample_size: int | None = SILHOUETTE_SAMPLE) -> DataFrame:
-    """The metrics record: 12 fields as one row, or no row for under two clusters.
+    """The metrics record as one row, or no row for under two clusters.
 
-    ``points`` also has ``pseudo``, the k-means labels.
+    ``points`` also has ``pseudo``, the k-means labels. The tightness of the
+    single clusters, as many as there are clusters, stays the table
+    :func:`cluster_tightness`; the record has their mean.
     """
-    tightness = cluster_tightness(points).agg(
-        F.struct(F.avg("tightness").alias("avg"),
-                 F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-                     F.col("cluster").cast("int").alias("cluster"), "tightness")))).alias("map")))
     agreement = label_agreement(points)
     agreed = agreement.select(F.struct(*agreement.columns))
+    tightness = cluster_tightness(points).agg(F.avg("tightness"))
     return (
         cluster_counts(points).where(_scorable())
-        .withColumn("agreed", agreed.scalar()).withColumn("tight", tightness.scalar())
+        .withColumn("agreed", agreed.scalar())
         .select(
             F.lit(mode).alias("mode"),
             silhouette(points, sample_size).scalar().alias("silhouette_score"),
             davies_bouldin(points).scalar().alias("davies_bouldin_index"),
             calinski_harabasz(points).scalar().alias("calinski_harabasz_score"),
             F.col("agreed.homogeneity_score"), F.col("agreed.completeness_score"),
-            F.col("agreed.v_measure_score"), F.col("tight.avg").alias("avg_cluster_tightness"),
-            F.col("tight.map").alias("cluster_tightness"),
+            F.col("agreed.v_measure_score"), tightness.scalar().alias("avg_cluster_tightness"),
             "n_clusters", "n_noise", "n_clustered")
     )
 

@@ -114,8 +114,11 @@ def read_reconciled(spark: SparkSession, directory: str, columns: tuple[str, ...
     return _empty(spark, wanted) if result is None else result
 
 
-def canonicalise(raw: DataFrame) -> DataFrame:
-    """Canonical corpus rows: normalised name, description and tags; rest as is."""
+def canonicalise(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical corpus rows: normalised name, description and tags; rest as is.
+
+    Columns named in ``keep`` stay beside the canonical ones.
+    """
     expressions: dict[str, Column] = {
         "query_id": F.col("query_id").cast("bigint"),
         "name": normalize_text(F.col("name")),
@@ -124,7 +127,7 @@ def canonicalise(raw: DataFrame) -> DataFrame:
         "owner": F.col("owner"),
         "query_sql": F.col("query_sql"),
     }
-    return raw.select(*[expr.alias(name) for name, expr in expressions.items()])
+    return raw.select(*[expr.alias(name) for name, expr in expressions.items()], *keep)
 
 
 def limited(corpus: DataFrame, limit: int | None) -> DataFrame:

@@ -54,9 +54,10 @@ def write_keywords(keywords: DataFrame, path: str) -> None:
     keywords.select(entry.alias("value")).write.mode("overwrite").text(path)
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    """The metrics record as one JSON object."""
-    metrics.coalesce(1).write.mode("overwrite").json(path)
+def write_metrics(metrics: DataFrame, tightness: DataFrame, path: str) -> None:
+    """The metrics record as one JSON object, and the tightness per cluster."""
+    metrics.coalesce(1).write.mode("overwrite").json(f"{path}/record")
+    tightness.write.mode("overwrite").json(f"{path}/cluster_tightness")
 
 
 def write_tags(tag_counts: DataFrame, path: str) -> None:
