@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from textquarry.functions import text
 from textquarry.operators import coverage, duplicates, ledger, metrics, profiles, tags
 from textquarry.plans import tables
-from textquarry.session import scratch_path
+from textquarry.session import scratch_path, ship_code
 from textquarry.sources import corpus as source
 from textquarry.sources import cursor as cursors
 from textquarry.sources import sinks
@@ -400,4 +400,5 @@ def _comparable(query: Query) -> Query:
 
 
 def all_queries() -> dict[str, Query]:
+    ship_code()
     return {name: _comparable(query) for name, query in RELATIONAL.items()}

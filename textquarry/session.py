@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+
+import textquarry
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -29,6 +32,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+def ship_code() -> None:
+    """Send this package's functions to the workers by value.
+
+    So it need not be installed there, nor be the working directory.
+    """
+    cloudpickle.register_pickle_by_value(textquarry)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is named (tests)."""
     named = spark.conf.get(CHECKPOINT_CONF, None)
@@ -46,8 +57,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable, keeping a folder that is already set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(spark))
+def materialise(frame: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder, read back.
+
+    Cuts the lineage so that it survives lost executors, and replaces size
+    estimates, which multiply with every join of a loop, by real file sizes.
+    """
+    path = scratch_path(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
