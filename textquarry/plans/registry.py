@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from textquarry.functions import text
-from textquarry.operators import coverage, duplicates, ledger, metrics, profiles, tags
-from textquarry.plans import tables
+from textquarry.operators import (
+    coverage, density, duplicates, embedding, ledger, metrics, profiles, tags)
+from textquarry.plans import clustering, tables
 from textquarry.session import scratch_path, ship_code
 from textquarry.sources import corpus as source
 from textquarry.sources import cursor as cursors
 from textquarry.sources import sinks
+from textquarry.streaming.incremental import ingest_new_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,6 +118,17 @@ def incremental_rows(spark, sf):
         "query_id", "query_sql")
 
 
+def incremental_stream(spark, sf):
+    """Two deliveries of files, the stream run after each."""
+    arrived, target, log = (scratch_path(spark, n) for n in ("arrived", "ingested", "progress"))
+    raw = tables.raw_documents(spark, sf).drop("cluster")
+    first = F.col("description").isNull()
+    for name, part in (("first", raw.where(first)), ("second", raw.where(~first))):
+        part.write.parquet(f"{arrived}/{name}")
+        ingest_new_files(spark, arrived, target, log).awaitTermination()
+    return spark.read.parquet(target)
+
+
 # --- sinks, read back --------------------------------------------------------
 
 def write_corpus(spark, sf):
@@ -264,6 +277,27 @@ def cluster_summary(spark, sf):
     return profiles.cluster_summary(profiles.cluster_profile(tables.clustered(spark, sf)))
 
 
+def embed_text(spark, sf):
+    return embedding.embed_text(tables.corpus(spark, sf), "semantic")
+
+
+def reduce_dimensions(spark, sf):
+    points = tables.points(spark, sf).select("query_id", "v")
+    return embedding.reduce_dimensions(points)
+
+
+def kmeans_labels(spark, sf):
+    return embedding.kmeans_labels(tables.points(spark, sf))
+
+
+def density_clusters(spark, sf):
+    return density.density_clusters(tables.points(spark, sf).select("query_id", "v"))
+
+
+def cluster_corpus(spark, sf):
+    return clustering.cluster_corpus(tables.corpus(spark, sf), "semantic").profile
+
+
 def _on_points(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: operator(tables.points(spark, sf))
 
@@ -286,7 +320,7 @@ def _deduplicated(mode: str) -> Query:
         tables.sql_texts(spark, sf), mode).select("query_id", "query_sql")
 
 
-RELATIONAL: dict[str, Query] = {
+QUERIES: dict[str, Query] = {
     "load_corpus": load_corpus,
     "load_corpus_limit": load_corpus_limit,
     "load_masked_sample": load_masked_sample,
@@ -297,6 +331,7 @@ RELATIONAL: dict[str, Query] = {
     "write_cursor": write_cursor,
     "resume_cursor": resume_cursor,
     "incremental_rows": incremental_rows,
+    "incremental_stream": incremental_stream,
     "write_corpus": write_corpus,
     "write_clustered": write_clustered,
     "write_by_cluster": write_by_cluster,
@@ -392,6 +427,11 @@ RELATIONAL: dict[str, Query] = {
     "v_measure": _on_points(lambda p: metrics.label_agreement(p).select("v_measure_score")),
     "cluster_metrics": _on_points(metrics.cluster_metrics),
     "assessment": _on_points(lambda p: metrics.assessment(metrics.cluster_metrics(p))),
+    "embed_text": embed_text,
+    "reduce_dimensions": reduce_dimensions,
+    "kmeans_labels": kmeans_labels,
+    "density_clusters": density_clusters,
+    "cluster_corpus": cluster_corpus,
 }
 
 
@@ -401,4 +441,4 @@ def _comparable(query: Query) -> Query:
 
 def all_queries() -> dict[str, Query]:
     ship_code()
-    return {name: _comparable(query) for name, query in RELATIONAL.items()}
+    return {name: _comparable(query) for name, query in QUERIES.items()}
