@@ -39,7 +39,8 @@ def repeated_hashes(rows: DataFrame) -> DataFrame:
 
 def duplicates_of(rows: DataFrame) -> DataFrame:
     """All rows, first copies included, whose hash is repeated."""
-    return rows.join(repeated_hashes(rows).select("hash"), "hash", "left_semi")
+    repeated = repeated_hashes(rows).select("hash")
+    return rows.join(repeated, "hash", "left_semi").select(*rows.columns)
 
 
 def find_duplicates(corpus: DataFrame, mode: str = "sql") -> DataFrame:
