@@ -13,7 +13,9 @@ SPACE_CLASS = (r"\t\n\x0B\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
 SPACE_CHARS = ("\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680"
                + "".join(chr(c) for c in range(0x2000, 0x200B))
                + "\u2028\u2029\u202f\u205f\u3000")
-SPACES = f"[{SPACE_CLASS}]+"
+# What has to become one blank: longer runs, and lone characters other than a
+# blank. Lone blanks, by far the most frequent, are left alone by the regex.
+SPACES = f"[{SPACE_CLASS}]{{2,}}|[{SPACE_CLASS}&&[^ ]]"
 
 # Comment, literal and token patterns. ``(?d)`` makes LF the only
 # line end for ``.`` and ``$``.

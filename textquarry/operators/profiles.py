@@ -74,15 +74,25 @@ def cluster_summary(profile: DataFrame) -> DataFrame:
 
 
 def cluster_terms(clustered: DataFrame, mode: str, stop_words: Sequence[str]) -> DataFrame:
-    """Term frequency per cluster, noise and stop words left out.
+    """Term frequency per cluster, noise left out.
 
-    A cluster with text but no term left keeps one row with a null term.
+    Stop words are looked up once per distinct term of a cluster. They and the
+    absence of any term remain as rows with a null term and frequency 0, so
+    that a cluster with text is never lost.
     """
-    text = keyword_text(mode)
-    kept = F.filter(tokens(text), lambda t: ~t.isin(*stop_words))
-    return (clustered.where((F.col("cluster") != NOISE) & ~is_blank(text))
-            .select("cluster", F.explode_outer(kept).alias("term"))
-            .groupBy("cluster", "term").agg(F.count("term").alias("frequency")))
+    words = (clustered.where(F.col("cluster") != NOISE)
+             .select("cluster", keyword_text(mode).alias("text"))
+             .select("cluster", tokens(F.col("text")).alias("words"),
+                     is_blank(F.col("text")).alias("blank")))
+    # no filter on the text: pushed to the scan, it would build the text twice
+    none = F.array().cast("array<string>")
+    listed = (F.when(F.size("words") > 0, F.col("words")).when(F.col("blank"), none)
+              .otherwise(F.array(F.lit(None).cast("string"))))
+    counts = (words.select("cluster", F.explode(listed).alias("term"))
+              .groupBy("cluster", "term").agg(F.count("term").alias("frequency")))
+    kept = F.col("term").isNotNull() & ~F.col("term").isin(*stop_words)
+    return counts.select("cluster", F.when(kept, F.col("term")).alias("term"),
+                         F.when(kept, F.col("frequency")).otherwise(0).alias("frequency"))
 
 
 def cluster_keywords(clustered: DataFrame, mode: str, top_n: int = KEYWORDS,
@@ -94,6 +104,6 @@ def cluster_keywords(clustered: DataFrame, mode: str, top_n: int = KEYWORDS,
     """
     ranked = _ranked(cluster_terms(clustered, check_mode(mode), stop_words),
                      [F.desc("frequency"), F.col("term")], top_n)
-    # at most top_n terms per cluster; collect_list leaves the null term out
+    # at most top_n terms per cluster; collect_list leaves null terms out
     return ranked.groupBy("cluster").agg(
         F.array_sort(F.collect_list("term")).alias("keywords"))

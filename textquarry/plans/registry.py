@@ -46,7 +46,7 @@ def _text_query(expression: Callable[[], Column], view=tables.corpus) -> Query:
 
 
 def _document_text(expression: Callable[[Column], Column]) -> Query:
-    return lambda spark, sf: tables.table(spark, sf, "documents").select(
+    return lambda spark, sf: source.spread(tables.table(spark, sf, "documents")).select(
         F.col("doc_id").alias("query_id"), expression(F.col("text")).alias("text"))
 
 

@@ -70,6 +70,16 @@ class FileGroup:
     paths: tuple[str, ...]
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, dealt out to all cores.
+
+    Text work is bound by CPU, so few large row groups are worth one shuffle.
+    A scan of many files, the usual case on a cluster, is returned as it is.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+
+
 def file_groups(spark: SparkSession, directory: str) -> list[FileGroup]:
     """Readable files by schema. Only paths reach the driver, as for any file scan."""
     rows = (load_report(spark, directory).where("error IS NULL")
@@ -111,7 +121,7 @@ def read_reconciled(spark: SparkSession, directory: str, columns: tuple[str, ...
         absent = [n for n in ("owner", "query_sql") if n in wanted and n not in group.columns]
         frame = frame.withColumns({n: F.lit("") for n in absent})
         result = frame if result is None else result.unionByName(frame)
-    return _empty(spark, wanted) if result is None else result
+    return _empty(spark, wanted) if result is None else spread(result)
 
 
 def canonicalise(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
