@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ REDUCED_DIMENSIONS = 5
 # K-means restarts and seed of the pseudo labels.
 RESTARTS = 10
 SEED = 42
+PARALLEL_RUNS = 4
 NOISE = -1
 
 
@@ -77,8 +79,14 @@ def kmeans_labels(points: DataFrame, k: int | None = None, seed: int = SEED,
         return spark.createDataFrame([], "query_id long, pseudo int")
     features = materialise(kept.select("query_id", array_to_vector("v").alias("features")),
                            "features").persist()
-    models = [KMeans(k=k, seed=seed + i, featuresCol="features",
-                     predictionCol="pseudo").fit(features) for i in range(restarts)]
+
+    def fit(restart: int):
+        return KMeans(k=k, seed=seed + restart, featuresCol="features",
+                      predictionCol="pseudo").fit(features)
+
+    # the runs are independent Spark jobs: a few are kept going at a time
+    with ThreadPool(min(PARALLEL_RUNS, restarts)) as pool:
+        models = pool.map(fit, range(restarts))
     best = min(models, key=lambda m: m.summary.trainingCost)
     features.unpersist()
     return best.transform(features).select("query_id", "pseudo")

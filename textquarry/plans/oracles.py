@@ -515,6 +515,12 @@ SELECT round(calinski_harabasz_score, 6) AS calinski_harabasz_score FROM calinsk
         "completeness": f"WITH {POINTS}, {AGREEMENT} SELECT round(c, 6) AS completeness_score FROM hc",
         "v_measure": f"""WITH {POINTS}, {AGREEMENT}
 SELECT round(2 * h * c / (h + c), 6) AS v_measure_score FROM hc""",
+        # the points are pulled apart by label, so the labels are the clusters to be
+        # found; they are numbered by their lowest id
+        "density_clusters": f"""WITH {POINTS}, firsts AS (
+  SELECT cluster, min(query_id) AS first_id FROM points GROUP BY cluster), numbers AS (
+  SELECT cluster, CAST(row_number() OVER (ORDER BY first_id) - 1 AS INTEGER) AS number FROM firsts)
+SELECT query_id, number AS cluster FROM points JOIN numbers USING (cluster)""",
         "cluster_metrics": f"{_metrics()} SELECT * FROM metrics",
         "write_metrics": f"{_metrics()} SELECT * FROM metrics",
         "assessment": f"""{_metrics()}

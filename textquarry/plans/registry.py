@@ -278,7 +278,9 @@ def cluster_summary(spark, sf):
 
 
 def embed_text(spark, sf):
-    return embedding.embed_text(tables.corpus(spark, sf), "semantic")
+    embedded = embedding.embed_text(tables.corpus(spark, sf), "semantic")
+    return embedded.select("query_id", F.size("v").alias("dimensions"), F.sqrt(F.aggregate(
+        "v", F.lit(0.0), lambda acc, x: acc + x * x)).alias("length"))
 
 
 def reduce_dimensions(spark, sf):
