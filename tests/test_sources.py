@@ -78,7 +78,7 @@ def test_deduplicated_never_overwrites(spark, drifting, tmp_path):
 
 
 def test_tsv_layout(spark, tmp_path):
-    frame = spark.createDataFrame([("a b", 2)], "tag string, count long")
+    frame = spark.createDataFrame([("a b", 2)], "tag string, count long").coalesce(1)
     sinks.write_tags_tsv(frame, str(tmp_path / "tags"))
     text = next((tmp_path / "tags").glob("part-*")).read_text()
     assert text == "TAG\tCOUNT\na b\t2\n"
