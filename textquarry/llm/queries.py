@@ -5,14 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textquarry.llm import exact_dedup, kd_shards
+from textquarry.llm import byte_bpe, exact_dedup, kd_shards, token_files
 from textquarry.llm.common import documents
-from textquarry.session import ship_code
+from textquarry.session import scratch_path, ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
+WORD_VOCABULARY = "word_bpe_49k.json"
+END_ID = 2
+
+
+def byte_bpe_digests(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    coded = byte_bpe.roundtrip(docs, public_tokenizers.path(BYTE_VOCABULARY),
+                               public_tokenizers.PATTERN)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe_digests(documents(spark, sf_dir))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path(WORD_VOCABULARY)
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(documents(spark, sf_dir), path,
+                                  lambda: token_files.word_tokenizer(vocabulary), END_ID)
+    crc = F.pandas_udf(token_files.crc_of, "long")
+    return token_files.read_documents(spark, path).select(
+        "doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+
+
 def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.kd_shards(documents(spark, sf_dir), 24)
 
@@ -22,6 +54,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_token_files": op3_token_files,
     "op7_kd_shards": op7_kd_shards,
     "op8_exact_dedup": op8_exact_dedup,
 }
