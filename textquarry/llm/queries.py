@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import byte_bpe, exact_dedup, kd_shards, token_files
-from textquarry.llm.common import documents
+from textquarry.llm import byte_bpe, decontaminate, exact_dedup, kd_shards, token_files
+from textquarry.llm.common import documents, table
 from textquarry.session import scratch_path, ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+                        "contaminated")
+
+
 def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.kd_shards(documents(spark, sf_dir), 24)
 
@@ -56,6 +63,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_files": op3_token_files,
+    "op5_decontaminate": op5_decontaminate,
     "op7_kd_shards": op7_kd_shards,
     "op8_exact_dedup": op8_exact_dedup,
 }
@@ -67,4 +75,4 @@ def all_queries() -> dict[str, Query]:
 
 
 def all_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.SQL}
+    return {"op5_decontaminate": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL}
