@@ -24,6 +24,14 @@ def filled(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, as a row is a whole text;
+    a number that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def bucket_count(spark: SparkSession, megabytes: float, each: float) -> int:
     """Buckets of about ``each`` MB, at least as many as the session's shuffle partitions."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import byte_bpe, decontaminate, exact_dedup, kd_shards, token_files, toxicity
+from textquarry.llm import byte_bpe, decontaminate, exact_dedup, kd_shards, language, token_files, toxicity
 from textquarry.llm.common import documents, table
 from textquarry.session import scratch_path, ship_code
 
@@ -60,6 +60,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -69,8 +73,9 @@ QUERIES: dict[str, Query] = {
     "op3_token_files": op3_token_files,
     "op5_decontaminate": op5_decontaminate,
     "op7_kd_shards": op7_kd_shards,
-    "op10_toxicity": op10_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_language": op9_language,
+    "op10_toxicity": op10_toxicity,
 }
 
 

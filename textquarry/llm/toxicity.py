@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import filled, keyed_text
+from textquarry.llm.common import filled, keyed_text, text_batches
 from textquarry.session import materialise
 
 WORD = re.compile(r"[^\W\d_]{3,}")
@@ -217,6 +217,7 @@ def fit_linear(patterns: np.ndarray, posterior: np.ndarray, counts: np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, id_col: str = "doc_id",
         text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic") -> Model:
     """Learn from labelled documents; without any toxic one, nothing is toxic."""
+    text_batches(docs.sparkSession)
     labelled = materialise(sample(docs, labels, per_class, id_col, text_col, label_id, label_col),
                            "labelled")
     lexicon = learn_lexicon(labelled)
