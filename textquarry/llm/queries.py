@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import byte_bpe, decontaminate, exact_dedup, kd_shards, language, token_files, toxicity
+from textquarry.llm import byte_bpe, decontaminate, exact_dedup, kd_shards, language, secrets, token_files, toxicity
 from textquarry.llm.common import documents, table
 from textquarry.session import scratch_path, ship_code
 
@@ -45,6 +45,20 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
 
 
+def _listed(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(documents(spark, sf_dir))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}")
+              for kind in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"),
+                        _listed("spans").alias("spans"), "layers", "cut")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
@@ -71,6 +85,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_files": op3_token_files,
+    "op4_secrets": op4_secrets,
     "op5_decontaminate": op5_decontaminate,
     "op7_kd_shards": op7_kd_shards,
     "op8_exact_dedup": op8_exact_dedup,
