@@ -3,11 +3,11 @@
 The merges are compiled into compatibility of neighbours: two tokens may stand
 side by side when merging their bytes gives exactly these two. Every prefix of a
 text then has one last token, the token ending there that is compatible with the
-last token of the prefix before it. What the past can still do is held by the
-positions from which a token may run on, as pairs (place in the token trie, last
-token there). Such a set is a state of a deterministic transducer; states and
-transitions are made when a text first needs them. A token is emitted once every
-way on agrees about it, after a lookahead bounded by the longest token.
+last token of the prefix before it. A state of the transducer is the set of places
+in the token trie that the positions from which a token may run on have reached;
+a transition knows the tokens that end with its byte. States, transitions and
+compatibilities are made when a text first needs them. A token is emitted once
+every way on agrees about it, after a lookahead bounded by the longest token.
 
 A task keeps the transducer and the ids of pieces it has met; both are caches of
 bounded size and change no result. Decoding joins token bytes in chunks; a UTF-8
@@ -18,20 +18,19 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import filled
+from textquarry.llm.common import filled, text_batches
 
 NOWHERE = -1
-#: Bounds of the caches of one task: states of the transducer, and known pieces.
-MOST_STATES = 200_000
-MOST_PIECES = 400_000
+#: Bounds of the caches of one task: states of the transducer, and known pieces or pairs.
+MOST_STATES = 60_000
+MOST_PIECES = 200_000
 #: Bytes of one piece after which what is certain is emitted; over the longest token.
 LOOKAHEAD = 1024
 #: Tokens that one step of decoding joins.
@@ -67,12 +66,13 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        # a state: ((trie node, last token, distance back), ...), the newest last;
-        # a transition: state * 256 + byte -> (next state * 256, token, its length)
-        start = ((0, NOWHERE, 0),)
+        # a state: (trie node, distance back) of each position a token may run on from;
+        # a transition: state * 256 + byte -> (next state * 256, tokens that end here,
+        # the longest first, each with its length)
+        start = ((0, 0),)
         self.numbers = {start: 0}
         self.states = [start]
-        self.steps: dict[int, tuple[int, int, int]] = {}
+        self.steps: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
 
     def _parts(self, word: bytes) -> tuple[bytes, bytes] | None:
         """The two parts that the last merge of ``word`` joins."""
@@ -100,12 +100,6 @@ class Transducer:
             self.spines[side][token] = known
         return known
 
-    def compatible(self, left: int, right: int) -> bool:
-        known = self.fits.get((left, right))
-        if known is None:
-            known = self.fits[left, right] = self._compatible(left, right)
-        return known
-
     def _compatible(self, left: int, right: int) -> bool:
         # the parts that meet at the seam, in the order in which the merges grow them
         ends, starts = self._spine(left, 0), self._spine(right, 1)
@@ -123,59 +117,70 @@ class Transducer:
             else:
                 j += 1
 
-    def _step(self, step: int) -> tuple[int, int, int]:
+    def _step(self, step: int) -> tuple[int, tuple[tuple[int, int], ...]]:
         """The transition of a state and a byte, which is kept from now on."""
-        byte = step & 255
-        alive = []
-        token = length = 0
-        children, inner, token_at = self.children.get, self.inner, self.token_at.get
-        for node, last, back in self.states[step >> 8]:
-            after = children(node << 8 | byte)
+        alive, ends = [], []
+        for node, back in self.states[step >> 8]:
+            after = self.children.get(node << 8 | step & 255)
             if after is None:
                 continue
-            if after in inner:
-                alive.append((after, last, back + 1))
-            if not length:
-                rank = token_at(after)
-                if rank is not None and (last == NOWHERE or self.compatible(last, rank)):
-                    token, length = rank, back + 1
-        alive.append((0, token, 0))
-        following = tuple(alive)
-        number = self.numbers.get(following)
-        if number is None:
-            number = self._number(following)
-        self.steps[step] = found = (number << 8, token, length)
+            if after in self.inner:
+                alive.append((after, back + 1))
+            if after in self.token_at:
+                ends.append((self.token_at[after], back + 1))
+        alive.append((0, 0))
+        found = self.steps[step] = (self._number(tuple(alive)) << 8, tuple(ends))
         return found
 
     def _number(self, state: tuple) -> int:
-        number = self.numbers[state] = len(self.states)
-        self.states.append(state)
+        number = self.numbers.get(state)
+        if number is None:
+            number = self.numbers[state] = len(self.states)
+            self.states.append(state)
         return number
 
+    def _fits(self, pair: int) -> bool:
+        if len(self.fits) > MOST_PIECES:
+            self.fits.clear()
+        found = self.fits[pair] = self._compatible(pair >> 32, pair & 0xFFFFFFFF)
+        return found
+
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one piece."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > MOST_STATES:
-            self.reset()
         out: list[int] = []
-        # the transitions taken since the position up to which all is emitted
-        taken: list[tuple[int, int, int]] = []
-        state = 0
+        # the last token of each prefix, with its length, since the position up to
+        # which all is emitted; what stands there fits whatever may follow
+        taken: list[tuple[int, int]] = [(NOWHERE, 0)]
+        state = at = 0
+        known, fits = self.steps.get, self.fits.get
         for begin in range(0, len(piece), LOOKAHEAD):
             if begin:
-                self._emit(out, taken, state >> 8)
-                if len(self.states) > MOST_STATES:
-                    here = self.states[state >> 8]
-                    self.reset()
-                    state = self._number(here) << 8
-            known = self.steps.get
+                at -= self._emit(out, taken, state >> 8)
+            if len(self.states) > MOST_STATES:
+                here = self.states[state >> 8]
+                self.reset()
+                state = self._number(here) << 8
+                known = self.steps.get
             for byte in piece[begin:begin + LOOKAHEAD]:
-                found = known(state | byte) or self._step(state | byte)
-                state = found[0]
-                taken.append(found)
-        self._walk(out, taken, len(taken))
+                state, ends = known(state | byte) or self._step(state | byte)
+                at += 1
+                for end in ends:
+                    token, length = end
+                    # one of them fits; if none of the longer ones, then the byte alone
+                    if length == 1:
+                        break
+                    last = taken[at - length][0]
+                    if last < 0:
+                        break
+                    pair = last << 32 | token
+                    fit = fits(pair)
+                    if fit or fit is None and self._fits(pair):
+                        break
+                taken.append(end)
+        self._walk(out, taken, at)
         return out
 
     @staticmethod
@@ -183,22 +188,23 @@ class Transducer:
         """Emit what leads to the position ``to``."""
         back = []
         while to > 0:
-            found = taken[to - 1]
-            back.append(found[1])
-            to -= found[2]
+            token, length = taken[to]
+            back.append(token)
+            to -= length
         back.reverse()
         out += back
 
-    def _emit(self, out: list[int], taken: list, state: int) -> None:
-        """Emit up to the last position through which every way on has to go."""
-        fronts = {len(taken) - back for _, _, back in self.states[state]}
+    def _emit(self, out: list[int], taken: list, state: int) -> int:
+        """Emit up to the last position through which every way on has to go; how far."""
+        fronts = {len(taken) - 1 - back for _, back in self.states[state]}
         while len(fronts) > 1:
             last = max(fronts)
             fronts.remove(last)
-            fronts.add(last - taken[last - 1][2])
+            fronts.add(last - taken[last][1])
         agreed = fronts.pop()
         self._walk(out, taken, agreed)
-        del taken[:agreed]
+        del taken[:agreed]  # the token that ends there stays, as what stands before
+        return agreed
 
 
 class Encoder:
@@ -207,46 +213,46 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(read_ranks(path))
         self.find = regex.compile(pattern).findall
-        self.newline = self.transducer.encode(b"\n")
         encoder = self
 
         class Known(dict):
-            """Ids of a word with what stands before it."""
+            """Packed ids of a word with what stands before it."""
 
             def __init__(self, lead: str):
                 super().__init__()
                 self.lead = lead
 
-            def __missing__(self, word: str) -> list[int]:
+            def __missing__(self, word: str) -> bytes:
                 if len(self) > MOST_PIECES:
                     self.clear()
                 ids = self[word] = encoder.pieces(self.lead + word)
                 return ids
 
-        self.bare, self.spaced = Known(""), Known(" ")
+        self.first, self.spaced, self.after_line = Known(""), Known(" "), Known("\n")
 
-    def pieces(self, text: str) -> list[int]:
+    def pieces(self, text: str) -> bytes:
         encode = self.transducer.encode
-        return [token for piece in self.find(text) for token in encode(piece.encode())]
-
-    def encode(self, text: str) -> array:
-        """Where words stand between single blanks and line ends, the matches of
-        the pattern are those of ' word' and of 'word' at the start of a line, so
-        known words are looked up; other texts are matched as a whole."""
-        ids = array("I")
-        if not text:
-            return ids
+        return array("I", [t for piece in self.find(text) for t in encode(piece.encode())]).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers.
+
+        Where words stand between single blanks and line ends, the matches of the
+        pattern are those of ' word', and of a line end and 'word' at the start of
+        a line, so known words are looked up; other texts are matched as a whole.
+        """
         if text.split() != text.replace("\n", " ").split(" "):
-            ids.extend(self.pieces(text))
-            return ids
+            return self.pieces(text)
         spaced = self.spaced
-        for number, line in enumerate(text.split("\n")):
-            if number:
-                ids.extend(self.newline)
+        found = []
+        known = self.first
+        for line in text.split("\n"):
             words = line.split(" ")
-            ids.extend(self.bare[words[0]])
-            ids.extend(chain.from_iterable([spaced[word] for word in words[1:]]))
-        return ids
+            found.append(known[words[0]])
+            del words[0]
+            found += [spaced[word] for word in words]
+            known = self.after_line
+        return b"".join(found)
 
 
 class Utf8Stream:
@@ -311,7 +317,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(path, pattern)
         for texts in batches:
-            yield pd.Series([encoder.encode(t).tobytes() for t in texts])
+            yield pd.Series([encoder.encode(t) for t in texts])
 
     return ids_of(filled(text))
 
@@ -335,6 +341,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                      text_col: str = "text") -> DataFrame:
     """(doc_id, ids): one row per document, repeated rows too; a null or empty text has
     no ids. Other columns are ignored; an empty table gives no rows."""
+    text_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"),
                        encode(F.col(f"`{text_col}`").cast("string"), path, pattern).alias("ids"))
 

@@ -30,9 +30,3 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
-
-
-def bucket_count(spark: SparkSession, megabytes: float, each: float) -> int:
-    """Buckets of about ``each`` MB, at least as many as the session's shuffle partitions."""
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, int(megabytes / each) + 1)
