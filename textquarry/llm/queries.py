@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import byte_bpe, decontaminate, exact_dedup, kd_shards, language, secrets, token_files, toxicity
+from textquarry.llm import byte_bpe, decontaminate, exact_dedup, kd_shards, language, near_dedup, repeats, secrets, token_files, toxicity
 from textquarry.llm.common import documents, table
 from textquarry.session import scratch_path, ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -66,6 +70,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "contaminated")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans",
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.kd_shards(documents(spark, sf_dir), 24)
 
@@ -83,10 +93,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_files": op3_token_files,
     "op4_secrets": op4_secrets,
     "op5_decontaminate": op5_decontaminate,
+    "op6_repeats": op6_repeats,
     "op7_kd_shards": op7_kd_shards,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language": op9_language,
