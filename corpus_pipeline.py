@@ -1,19 +1,50 @@
-"""From raw documents to token ids: five stages over the whole table."""
+"""From raw documents to token ids: five stages, each over all that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.llm.common import documents
+from textquarry.llm.common import documents, table
+from textquarry.llm.decontaminate import without_contaminated
 from textquarry.llm.exact_dedup import deduplicate
+from textquarry.llm.near_dedup import without_near_duplicates
+from textquarry.llm.queries import byte_bpe_digests
+from textquarry.llm.toxicity import without_toxic
 from textquarry.session import materialise
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the smallest id stays."""
     return deduplicate(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the smallest id stays."""
+    return without_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of what they decode to."""
+    return byte_bpe_digests(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("byte-level BPE", byte_bpe),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-# the toxicity stage rests on a fitted model, which SQL cannot express
+# Toxicity is a fitted model and the last stage a tokenizer: SQL cannot express them.
 ORACLE_SQL = None

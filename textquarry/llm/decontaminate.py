@@ -148,6 +148,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW,
         (n_hit > 0).alias("contaminated"))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The documents that hold no window, with all their columns; ids are expected to be
+    unique, and documents without an id are kept."""
+    gone = contamination(docs, benchmark, width).where(
+        F.col("contaminated") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
 def proximity(index: DataFrame, tests: Tests, within: int) -> DataFrame:
     """(row, item, distance): documents where the two rarest words of an item that the
     corpus has stand at most ``within`` words apart, in any order; the least distance."""
