@@ -152,9 +152,11 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 "n": [int(b[1].sum()) for b in bags],
                 "bands": [next(keys) if len(b[0]) else None for b in bags]})
 
-    rows = keyed_text(docs, id_col, text_col).select("doc_id", filled(F.col("text")).alias("text"))
-    return materialise(rows.mapInPandas(
-        sketched, "doc_id long, digest string, n long, bands array<long>"), "sketches")
+    # as text, since pandas would make numbers with nulls among them inexact
+    rows = keyed_text(docs, id_col, text_col).select(
+        F.col("doc_id").cast("string"), filled(F.col("text")).alias("text"))
+    found = rows.mapInPandas(sketched, "doc_id string, digest string, n long, bands array<long>")
+    return materialise(found.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
 
 
 def bags_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -245,6 +245,9 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 "cut": [f[3] for f in found]})
 
     span = "array<struct<kind:string,start:long,end:long>>"
-    rows = keyed_text(docs, id_col, text_col).select("doc_id", filled(F.col("text")).alias("text"))
+    # as text, since pandas would make numbers with nulls among them inexact
+    rows = keyed_text(docs, id_col, text_col).select(
+        F.col("doc_id").cast("string"), filled(F.col("text")).alias("text"))
     return rows.mapInPandas(
-        searched, f"doc_id long, base {span}, spans {span}, layers int, cut boolean")
+        searched, f"doc_id string, base {span}, spans {span}, layers int, cut boolean").withColumn(
+        "doc_id", F.col("doc_id").cast("long"))
