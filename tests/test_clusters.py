@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from textquarry.operators import metrics
+from textquarry.operators import metrics, profiles
 from textquarry.operators.density import density_clusters
 from textquarry.operators.embedding import embed_text, kmeans_labels
 from textquarry.operators.spatial import core_distances, partition_sites
@@ -57,7 +57,7 @@ def test_silhouette_and_tightness_over_many_blocks(labelled):
         a = gaps[i, owner == own].sum() / max(mates, 1)
         b = min(gaps[i, owner == c].mean() for c in set(owner) - {own})
         expected.append((b - a) / max(a, b) if mates else 0.0)
-    got = metrics.silhouette_points(frame, sample_size=None, block_size=16)
+    got = metrics.silhouette_points(frame, block_size=16)
     values = [r["silhouette"] for r in got.orderBy("query_id").collect()]
     assert np.allclose(values, expected)
     tight = {r["cluster"]: r["tightness"]
@@ -70,7 +70,7 @@ def test_silhouette_and_tightness_over_many_blocks(labelled):
 
 def test_sampled_silhouette_is_repeatable(labelled):
     frame = labelled[2]
-    first, second = (metrics.silhouette_points(frame, sample_size=30).orderBy("query_id").collect()
+    first, second = (metrics.silhouette_points(metrics.sampled(frame, 30)).orderBy("query_id").collect()
                      for _ in range(2))
     assert len(first) == 30 and first == second
 
@@ -131,3 +131,35 @@ def test_run_and_save(spark, sf_dir, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/individual_clusters").count() == rows
     assert spark.read.parquet(f"{tmp_path}/state").columns == [
         "query_id", "v", "cluster", "embedding"]
+
+
+def test_silhouette_uses_every_point(spark):
+    # more points than any block, on a line: the sums are known in closed form
+    n = 6000
+    where = np.arange(2 * n, dtype=float) + np.repeat([0.0, 10.0 * n], n)
+    frame = points_frame(spark, [[x] for x in where], cluster=[0] * n + [1] * n)
+    got = metrics.silhouette_points(frame)
+    assert got.count() == 2 * n
+    own, other = np.arange(n, dtype=float), np.arange(n, dtype=float) + 11.0 * n
+    a = (own * (own + 1) / 2 + (n - 1 - own) * (n - own) / 2) / (n - 1)
+    b = other.mean() - own
+    mean = ((b - a) / np.maximum(a, b)).mean()
+    assert np.isclose(metrics.silhouette(frame).first()[0], mean, atol=1e-3)
+
+
+def test_partition_survives_ties():
+    from textquarry.operators.spatial import _fit_partition
+
+    source = np.random.default_rng(3)
+    matrix = source.random((8000, 8)) * (source.random((8000, 8)) > 0.7)
+    matrix[:, 0] = 5.0  # a dimension without spread
+    matrix = np.unique(matrix, axis=0)
+    sizes = np.bincount(_fit_partition(matrix, 3).assign(matrix), minlength=8)
+    assert sizes.max() <= 2 * len(matrix) / 8
+
+
+def test_repeated_ids_do_not_multiply_rows(spark):
+    corpus = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "query_id long, name string")
+    labels = spark.createDataFrame([(1, 4), (1, 3), (2, 0)], "query_id long, cluster int")
+    got = profiles.attach_labels(corpus, labels).orderBy("query_id", "name").collect()
+    assert [(r["query_id"], r["name"], r["cluster"]) for r in got] == [(1, "a", 3), (1, "b", 3), (2, "c", 0)]

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions.scores import euclidean, homogeneity_band, separation_band
-from textquarry.operators.blocks import BLOCK_SIZE, block_pairs, distances, run_kernel
+from textquarry.operators.blocks import (
+    BLOCK_SIZE, block_pairs, distance_strips, distances, run_kernel)
+from textquarry.session import materialise
 
 NOISE = -1
-SILHOUETTE_SAMPLE = 10_000
 SAMPLE_SEED = 42
 TIGHTEST = 5
 
@@ -63,7 +64,7 @@ def _spread(points: DataFrame) -> DataFrame:
 
 
 def _tightness_kernel(grp, same, left, right) -> pd.DataFrame:
-    total = distances(left[1], right[1] if not same else left[1]).sum()
+    total = sum(block.sum() for _, block in distance_strips(left[1], right[1], same))
     return pd.DataFrame({"cluster": [grp], "total": [total if same else 2.0 * total]})
 
 
@@ -87,43 +88,40 @@ def tightest_clusters(points: DataFrame, n: int = TIGHTEST) -> DataFrame:
 
 def _silhouette_kernel(grp, same, left, right) -> pd.DataFrame:
     """Distance sums of each point of one side to each cluster of the other."""
-    matrix = distances(left[1], left[1] if same else right[1])
-    parts = [(left, right, matrix)]
+    members = []
+    for _, _, labels in (left, right):
+        clusters, column = np.unique(labels, return_inverse=True)
+        member = np.zeros((len(labels), len(clusters)))
+        member[np.arange(len(labels)), column] = 1.0
+        members.append((clusters, member))
+    forward = np.zeros((len(left[0]), len(members[1][0])))
+    backward = np.zeros((len(right[0]), len(members[0][0])))
+    for rows, block in distance_strips(left[1], right[1], same):
+        forward[rows] = block @ members[1][1]
+        if not same:
+            backward += block.T @ members[0][1][rows]
+    sides = [(left, members[1][0], forward)]
     if not same:
-        parts.append((right, left, matrix.T))
-    frames = []
-    for (ids, _, own), (_, _, others), block in parts:
-        clusters, column = np.unique(others, return_inverse=True)
-        member = np.zeros((len(others), len(clusters)))
-        member[np.arange(len(others)), column] = 1.0
-        sums = block @ member
-        frames.append(pd.DataFrame({
-            "query_id": np.repeat(ids, len(clusters)),
-            "cluster": np.repeat(own, len(clusters)),
-            "other": np.tile(clusters, len(ids)),
-            "total": sums.ravel(),
-        }))
-    return pd.concat(frames)
+        sides.append((right, members[0][0], backward))
+    return pd.concat([pd.DataFrame({
+        "query_id": np.repeat(ids, len(clusters)), "cluster": np.repeat(own, len(clusters)),
+        "other": np.tile(clusters, len(ids)), "total": sums.ravel(),
+    }) for (ids, _, own), clusters, sums in sides])
 
 
-def silhouette_sample(points: DataFrame, sample_size: int | None = SILHOUETTE_SAMPLE,
-                      seed: int = SAMPLE_SEED) -> DataFrame:
-    """The clustered points, or a seeded sample of them when there are more."""
+def sampled(points: DataFrame, size: int, seed: int = SAMPLE_SEED) -> DataFrame:
+    """A seeded sample of the clustered points, for callers who ask for an estimate."""
     kept = clustered_only(points)
-    if sample_size is None:
-        return kept
     # ordering by a hash makes it a top-k per task; ids break the rare tie
-    return kept.orderBy(F.xxhash64(F.lit(seed), F.col("query_id")), "query_id").limit(sample_size)
+    return kept.orderBy(F.xxhash64(F.lit(seed), F.col("query_id")), "query_id").limit(size)
 
 
-def silhouette_points(points: DataFrame, sample_size: int | None = SILHOUETTE_SAMPLE,
-                      seed: int = SAMPLE_SEED, block_size: int = BLOCK_SIZE) -> DataFrame:
-    """Euclidean silhouette coefficient per point; 0 for a cluster of one.
+def silhouette_points(points: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """Euclidean silhouette coefficient of every clustered point; 0 for a cluster of one.
 
-    ``sample_size=None`` uses every point. Work grows with the square of the
-    points used, which is why the default samples beyond 10 000.
+    Work grows with the square of the points, as the score is defined on all pairs.
     """
-    used = silhouette_sample(points, sample_size, seed)
+    used = clustered_only(points)
     sizes = used.groupBy(F.col("cluster").cast("long").alias("other")).agg(
         F.count("*").alias("n"))
     sums = (run_kernel(block_pairs(used, label="cluster", block_size=block_size),
@@ -152,9 +150,9 @@ def _only_if_scorable(score: DataFrame, points: DataFrame) -> DataFrame:
     return score.withColumn("n_clusters", clusters).where(_scorable()).drop("n_clusters")
 
 
-def silhouette(points: DataFrame, sample_size: int | None = SILHOUETTE_SAMPLE,
-               seed: int = SAMPLE_SEED) -> DataFrame:
-    per_point = silhouette_points(points, sample_size, seed)
+def silhouette(points: DataFrame) -> DataFrame:
+    """Mean coefficient over all clustered points."""
+    per_point = silhouette_points(points)
     return _only_if_scorable(
         per_point.agg(F.avg("silhouette").alias("silhouette_score")), points)
 
@@ -242,14 +240,14 @@ def label_agreement(points: DataFrame) -> DataFrame:
                       v.alias("v_measure_score")), points)
 
 
-def cluster_metrics(points: DataFrame, mode: str = "semantic",
-                    sample_size: int | None = SILHOUETTE_SAMPLE) -> DataFrame:
+def cluster_metrics(points: DataFrame, mode: str = "semantic") -> DataFrame:
     """The metrics record as one row, or no row for under two clusters.
 
     ``points`` also has ``pseudo``, the k-means labels. The tightness of the
     single clusters, as many as there are clusters, stays the table
     :func:`cluster_tightness`; the record has their mean.
     """
+    points = materialise(points, "scored")  # each score reads it, none computes it again
     agreement = label_agreement(points)
     agreed = agreement.select(F.struct(*agreement.columns))
     tightness = cluster_tightness(points).agg(F.avg("tightness"))
@@ -258,7 +256,7 @@ def cluster_metrics(points: DataFrame, mode: str = "semantic",
         .withColumn("agreed", agreed.scalar())
         .select(
             F.lit(mode).alias("mode"),
-            silhouette(points, sample_size).scalar().alias("silhouette_score"),
+            silhouette(points).scalar().alias("silhouette_score"),
             davies_bouldin(points).scalar().alias("davies_bouldin_index"),
             calinski_harabasz(points).scalar().alias("calinski_harabasz_score"),
             F.col("agreed.homogeneity_score"), F.col("agreed.completeness_score"),

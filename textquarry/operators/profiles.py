@@ -18,8 +18,12 @@ NAME_CUT = 60
 
 
 def attach_labels(corpus: DataFrame, labels: DataFrame) -> DataFrame:
-    """The corpus with the ``cluster`` of each row, joined by id."""
-    return corpus.join(labels.select("query_id", "cluster"), "query_id")
+    """The corpus with the ``cluster`` of each row, joined by id.
+
+    An id with several labels gets the lowest, so no row is multiplied.
+    """
+    one = labels.groupBy("query_id").agg(F.min("cluster").alias("cluster"))
+    return corpus.join(one, "query_id")
 
 
 def _ranked(rows: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from textquarry.functions.text import check_mode
 from textquarry.operators import metrics, profiles
@@ -31,19 +32,26 @@ class ClusteringRun:
 def cluster_corpus(corpus: DataFrame, mode: str, encoder: Encoder | None = None,
                    min_cluster_size: int = MIN_CLUSTER_SIZE, min_samples: int = MIN_SAMPLES,
                    epsilon: float = SELECTION_EPSILON) -> ClusteringRun:
-    """Embed, reduce and cluster the corpus; ids must be unique.
+    """Embed, reduce and cluster the corpus, row by row: ids may repeat.
 
-    Vectors and labels are written to the shared folder once and read by every
+    Rows get a key of their own at the start, which stands for ``query_id`` until
+    the results are made. Vectors and labels are written to the shared folder once and read by every
     later step; nothing is computed twice.
     """
     mode = check_mode(mode)
-    embedded = materialise(embed_text(corpus, mode, encoder), "embedded")
+    keyed = materialise(corpus.withColumn("_row", F.monotonically_increasing_id()), "corpus")
+    rows = keyed.withColumn("query_id", F.col("_row")).drop("_row")
+    embedded = materialise(embed_text(rows, mode, encoder), "embedded")
     reduced = materialise(reduce_dimensions(embedded), "reduced")
     labels = density_clusters(reduced, min_cluster_size, min_samples, epsilon)
     points = materialise(reduced.join(labels, "query_id"), "labelled")
     scored = points.join(kmeans_labels(points), "query_id", "left")
-    clustered = profiles.attach_labels(corpus, points)
-    state = points.join(embedded.withColumnRenamed("v", "embedding"), "query_id")
+    ids = keyed.select("query_id", "_row")
+    label_of = points.select(F.col("query_id").alias("_row"), "cluster")
+    clustered = keyed.join(label_of, "_row").drop("_row")
+    state = (points.join(embedded.withColumnRenamed("v", "embedding"), "query_id")
+             .withColumnRenamed("query_id", "_row").join(ids, "_row")
+             .select("query_id", "v", "cluster", "embedding"))
     return ClusteringRun(
         mode, state, clustered, profiles.cluster_profile(clustered),
         profiles.cluster_keywords(clustered, mode), metrics.cluster_metrics(scored, mode),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.session import scratch_path
-from textquarry.sources.corpus import canonicalise, spread
+from textquarry.sources.corpus import canonicalise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,7 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as a raw labelled corpus: every row, whole texts."""
     long = F.col("n_chars") >= 500
     digits = F.length(F.col("n_chars").cast("string")).cast("string")
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("query_id"),
         F.concat(F.lit(" Text  "), F.upper("lang"), F.lit(" of "),
                  F.col("n_chars").cast("string"), F.lit(" Chars ")).alias("name"),
@@ -60,7 +60,7 @@ def sql_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     comment = (
         F.when(variant == 0, F.concat(F.lit(" -- note "), key.cast("string"), F.lit("\n")))
         .when(variant == 1, " /* a\nb */ ").when(variant == 2, " # h\r\n").otherwise(" "))
-    return spread(table(spark, sf_dir, "orders")).select(
+    return table(spark, sf_dir, "orders").select(
         key.alias("query_id"), F.col("o_orderpriority").alias("name"),
         F.lit(None).cast("string").alias("description"),
         F.array("o_orderpriority").alias("tags"),
@@ -119,6 +119,6 @@ def write_drifting(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "drifting")
     raw = raw_documents(spark, sf_dir).drop("cluster")
     without = F.col("description").isNull()
-    raw.where(~without).write.parquet(f"{path}/full")
-    raw.where(without).drop("description").write.parquet(f"{path}/short")
+    raw.where(~without).write.parquet(path)
+    raw.where(without).drop("description").write.mode("append").parquet(path)
     return path

@@ -52,11 +52,14 @@ def _read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=["path", "columns", "error"])
 
 
-def load_report(spark: SparkSession, directory: str) -> DataFrame:
-    """One row per Parquet file: path, columns, and the error of unreadable ones."""
+def load_report(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
+    """One row per Parquet file: path, columns, and the error of unreadable ones.
+
+    Folders below the directory are left out unless ``recursive`` is set.
+    """
     listed = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", "true").load(directory)
+        .option("recursiveFileLookup", str(recursive).lower()).load(directory)
         .where(F.col("length") >= 0).select("path")
     )
     return listed.mapInPandas(_read_footers, _FOOTER_SCHEMA)
@@ -70,16 +73,6 @@ class FileGroup:
     paths: tuple[str, ...]
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, dealt out to all cores.
-
-    Text work is bound by CPU, so few large row groups are worth one shuffle.
-    A scan of many files, the usual case on a cluster, is returned as it is.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
-
-
 def file_groups(spark: SparkSession, directory: str) -> list[FileGroup]:
     """Readable files by schema. Only paths reach the driver, as for any file scan."""
     rows = (load_report(spark, directory).where("error IS NULL")
@@ -96,7 +89,7 @@ def file_groups(spark: SparkSession, directory: str) -> list[FileGroup]:
 def _select_cast(frame: DataFrame, wanted: dict[str, str]) -> DataFrame:
     present = set(frame.columns)
     return frame.select(*[
-        (F.col(name) if name in present else F.lit(None)).cast(kind).alias(name)
+        (F.col(name) if name in present else F.lit(None)).try_cast(kind).alias(name)
         for name, kind in wanted.items()
     ])
 
@@ -109,7 +102,8 @@ def read_reconciled(spark: SparkSession, directory: str, columns: tuple[str, ...
                     required: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Union of all readable files that have the required columns, raw values.
 
-    A column a file lacks, or holds only nulls in, comes out null. An ``owner``
+    A column a file lacks, or holds only nulls in, comes out null, as does a value
+    that is not of the column's kind. An ``owner``
     or ``query_sql`` the file lacks comes out empty, as the format defines.
     """
     wanted = {n: t for n, t in CORPUS_TYPES.items() if columns is None or n in columns}
@@ -121,7 +115,7 @@ def read_reconciled(spark: SparkSession, directory: str, columns: tuple[str, ...
         absent = [n for n in ("owner", "query_sql") if n in wanted and n not in group.columns]
         frame = frame.withColumns({n: F.lit("") for n in absent})
         result = frame if result is None else result.unionByName(frame)
-    return _empty(spark, wanted) if result is None else spread(result)
+    return _empty(spark, wanted) if result is None else result
 
 
 def canonicalise(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
