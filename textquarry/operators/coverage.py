@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.scores import percentage
 from textquarry.operators.ordering import with_next_id, with_rank
+from textquarry.session import materialise
 
 HISTOGRAM_BINS = 50
 DEFAULT_BATCH_SIZE = 500
@@ -120,7 +121,8 @@ def missing_gap_statistics(saved: DataFrame, start_id: int, end_id: int) -> Data
 
 def gap_histogram(ids: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins over the gaps, the last one closed; empty bins included."""
-    frequencies = id_gaps(ids).groupBy("gap").agg(F.count("*").alias("n"))
+    # few rows, as d distinct gaps need an id span of d * (d + 1) / 2; read four times
+    frequencies = materialise(id_gaps(ids).groupBy("gap").agg(F.count("*").alias("n")), "gaps")
     same = F.min("gap") == F.max("gap")
     half = F.when(same, 0.5).otherwise(0.0)
     bounds = frequencies.agg(F.struct((F.min("gap") - half).alias("lo"),

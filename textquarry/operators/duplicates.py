@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.scores import percentage
 from textquarry.functions.text import dedup_text, structure_text, text_hash
+from textquarry.session import materialise
 
 SAMPLE_NAMES = 3
 SAMPLE_OWNERS = 3
@@ -60,6 +61,11 @@ def _first_per_hash(rows: DataFrame, value: str, order: str, n: int, name: str)
     return kept.groupBy("hash").agg(F.transform(listed, lambda s: s[value]).alias(name))
 
 
+def _hashes(rows: DataFrame) -> DataFrame:
+    """What groups are described by, without the texts; these are read and hashed once."""
+    return materialise(rows.select("hash", "query_id", "name", "owner"), "hashes")
+
+
 def group_owners(rows: DataFrame) -> DataFrame:
     """Distinct owners of every repeated hash, one per row; no owner, no row."""
     owners = rows.where(F.col("owner").isNotNull()).select("hash", "owner").distinct()
@@ -71,6 +77,7 @@ def duplicate_groups(rows: DataFrame) -> DataFrame:
 
     The owners themselves, which may be many, are rows of :func:`group_owners`.
     """
+    rows = _hashes(rows)
     groups = repeated_hashes(rows)
     names = _first_per_hash(rows, "name", "query_id", SAMPLE_NAMES, "sample_names")
     owners = (rows.where(F.col("owner").isNotNull()).select("hash", "owner").distinct()
@@ -82,6 +89,7 @@ def duplicate_groups(rows: DataFrame) -> DataFrame:
 
 def top_duplicate_groups(rows: DataFrame, n: int = TOP_GROUPS) -> DataFrame:
     """The largest groups with their first names and owners."""
+    rows = _hashes(rows)
     top = repeated_hashes(rows).orderBy(F.desc("count"), "hash").limit(n)
     # n rows, so the sides below are filtered by a broadcast
     keys = F.broadcast(top.select("hash"))

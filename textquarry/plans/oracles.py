@@ -521,6 +521,21 @@ SELECT round(2 * h * c / (h + c), 6) AS v_measure_score FROM hc""",
   SELECT cluster, min(query_id) AS first_id FROM points GROUP BY cluster), numbers AS (
   SELECT cluster, CAST(row_number() OVER (ORDER BY first_id) - 1 AS INTEGER) AS number FROM firsts)
 SELECT query_id, number AS cluster FROM points JOIN numbers USING (cluster)""",
+        "near_duplicates": f"""WITH RECURSIVE t AS (
+  SELECT doc_id AS query_id, {_normalize_sql("coalesce(text, '')")} AS x FROM documents),
+firsts AS (SELECT x, min(query_id) AS id, string_split(x, ' ') AS w FROM t GROUP BY x),
+grams AS (SELECT DISTINCT id, array_to_string(w[i:i + 2], ' ') AS g
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM firsts WHERE x <> '')),
+sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
+shared AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id
+  GROUP BY a.id, b.id),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b
+  WHERE c / (x.n + y.n - c) >= 0.8),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT id, id AS g FROM firsts UNION
+  SELECT l.b, r.g FROM reach r JOIN both_ways l ON l.a = r.id),
+groups AS (SELECT id, min(g) AS group_id FROM reach GROUP BY id)
+SELECT query_id, group_id FROM t JOIN firsts USING (x) JOIN groups USING (id)""",
         "cluster_metrics": f"{_metrics()} SELECT * FROM metrics",
         "write_metrics": f"{_metrics()} SELECT * FROM metrics",
         "assessment": f"""{_metrics()}

@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from textquarry.functions import text
 from textquarry.operators import (
-    coverage, density, duplicates, embedding, ledger, metrics, profiles, tags)
+    coverage, density, duplicates, embedding, ledger, metrics, near, profiles, tags)
 from textquarry.plans import clustering, tables
 from textquarry.session import scratch_path, ship_code
 from textquarry.sources import corpus as source
@@ -267,6 +267,13 @@ def _labelled(operator):
 
 # --- clusters ----------------------------------------------------------------
 
+def near_duplicates(spark, sf):
+    """Over whole texts: the documents as query texts."""
+    rows = tables.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("query_id"), F.col("text").alias("query_sql"))
+    return near.near_duplicates(rows)
+
+
 def attach_labels(spark, sf):
     labels = tables.raw_documents(spark, sf).select("query_id", "cluster")
     return profiles.attach_labels(tables.corpus(spark, sf), labels).select(
@@ -410,6 +417,7 @@ QUERIES: dict[str, Query] = {
     "deduplicated_structure": _deduplicated("structure"),
     "duplication_by_cluster": lambda spark, sf: duplicates.duplication_by_cluster(
         tables.sql_texts(spark, sf)),
+    "near_duplicates": near_duplicates,
     "attach_labels": attach_labels,
     "cluster_profile": _on_clustered(profiles.cluster_profile),
     "cluster_summary": cluster_summary,
