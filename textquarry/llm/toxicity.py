@@ -197,7 +197,7 @@ def label_model(patterns: np.ndarray, labels: np.ndarray, counts: np.ndarray, ro
 
 
 def fit_linear(patterns: np.ndarray, posterior: np.ndarray, counts: np.ndarray,
-               penalty: float = 1.0, rounds: int = 60) -> tuple[np.ndarray, float]:
+               penalty: float = 0.01, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels, by Newton steps."""
     x = np.column_stack([patterns, np.ones(len(patterns))])
     w = np.zeros(x.shape[1])
