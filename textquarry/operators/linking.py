@@ -61,8 +61,11 @@ def sharing(exploded: DataFrame) -> DataFrame:
         F.count("*").alias("count"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("one"),
         F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("two")).where("count > 1")
     single = groups.groupBy("count", "one", "two").agg(F.min("band").alias("band"))
-    return materialise(exploded.join(single.select("band", "count"), "band").withColumn(
-        "place", F.struct(F.xxhash64("node", "band").alias("hash"), "node")), "members")
+    shared = materialise(exploded.join(single.select("band", "count"), "band"), "shared")
+    # first come nodes that meet many others: the middle of a family is alike to most
+    met = shared.groupBy("node").agg((-F.sum("count")).alias("met"))
+    return materialise(shared.join(met, "node").withColumn(
+        "place", F.struct("met", F.xxhash64("node").alias("hash"), "node")).drop("met"), "members")
 
 
 def linked(members: DataFrame, bags: DataFrame, similarity: float) -> DataFrame | None:
