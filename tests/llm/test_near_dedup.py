@@ -5,6 +5,7 @@ from collections import Counter
 import cases
 import numpy as np
 from textquarry.llm import near_dedup
+from textquarry.operators.linking import components
 
 
 def bag(text):
@@ -84,5 +85,5 @@ def test_awkward_documents(spark):
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)]
     random.Random(0).shuffle(edges)
-    found = near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    found = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["comp"] for r in found} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}

@@ -25,21 +25,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import filled, keyed_text, text_batches
+from textquarry.operators.linking import linked, sharing
 from textquarry.session import materialise
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Two texts of similarity 0.8 share no band with probability (1 - 0.8 ** 4) ** 24 = 3e-6.
-BANDS, ROWS = 24, 4
+#: Two texts of similarity 0.8 share no band with probability (1 - 0.8 ** 5) ** 30 = 7e-6.
+BANDS, ROWS = 30, 5
 COMPONENTS = BANDS * ROWS
+#: Bags whose points are made together.
+TOGETHER = 200
 #: Bound of the words whose hashes a task keeps.
-MOST_WORDS = 250_000
-PIVOTS_GROW = 8
+MOST_WORDS = 100_000
 
 
 def _mix(values: np.ndarray, seed: int) -> np.ndarray:
@@ -145,7 +147,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             bags = [shingler(text) for text in batch["text"]]
             full = [b for b in bags if len(b[0])]
-            keys = iter(band_keys(signatures(full))) if full else iter(())
+            keys = (key for at in range(0, len(full), TOGETHER)
+                    for key in band_keys(signatures(full[at:at + TOGETHER])))
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"],
                 "digest": [digest(b) if len(b[0]) else None for b in bags],
@@ -178,83 +181,13 @@ def bags_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Da
     return materialise(found.dropDuplicates(["node"]), "bags")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node of each node's component, for nodes with an edge.
-
-    Large-star and small-star steps in turn: neighbours are hung on the smallest
-    one until every component is a star.
-    """
-    edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                        .where("a <> b").distinct(), "edges")
-    while True:
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")) \
-            .where("a <> b").distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(lowest, "a")
-        edges = materialise(hung.select("a", F.col("m").alias("b")).union(
-            hung.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "stars")
-        parents = edges.select(F.col("b").alias("a")).distinct()
-        loose = edges.join(parents, "a", "left_semi").limit(1).count() or \
-            edges.groupBy("a").count().where("count > 1").limit(1).count()
-        if not loose:
-            break
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
-    return materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(roots), "components")
-
-
-def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    left = bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
-    right = bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
-    shared = F.size(F.array_intersect("bag_a", "bag_b"))
-    return pairs.join(left, "a").join(right, "b").withColumn("shared", shared).select(
-        "a", "b", (F.col("shared") / (F.size("bag_a") + F.size("bag_b") - F.col("shared")))
-        .alias("similarity")).where(F.col("similarity") >= similarity)
-
-
 def _linked(docs: DataFrame, nodes: DataFrame, similarity: float, id_col: str, text_col: str
             ) -> DataFrame | None:
     """(node, comp) of all nodes that are similar to another; None if there is none."""
-    exploded = nodes.where(F.col("first_id").isNotNull()).select("node", "n", F.explode("bands").alias("band"))
-    shared = exploded.groupBy("band").count().where("count > 1")
-    members = materialise(exploded.join(shared.select("band", "count"), "band"), "members")
-    largest = members.agg(F.max("count")).first()[0]
-    if largest is None:
-        return None
+    members = sharing(nodes.where(F.col("first_id").isNotNull()).select(
+        "node", "n", F.explode("bands").alias("band")))
     candidates = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    bags = bags_of(docs, candidates, id_col, text_col)
-    links = tested = comps = None
-    done, pivots = 0, 1
-    while done < largest:
-        labelled = members.withColumn("comp", F.col("node")) if comps is None else members.join(
-            comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        labelled = materialise(labelled, "labelled")
-        several = labelled.where(F.col("count") > done).groupBy("band").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        active = materialise(labelled.join(several.select("band"), "band", "left_semi"), "active")
-        order = Window.partitionBy("band").orderBy(F.xxhash64("node", "band"), "node")
-        chosen = active.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).where(
-            F.col("rank") > done).select("band", F.col("node").alias("p"), F.col("n").alias("p_n"),
-                                         F.col("comp").alias("p_comp"))
-        pairs = chosen.join(active, "band").where(
-            (F.col("comp") != F.col("p_comp"))
-            & (F.least("n", "p_n") >= F.lit(similarity) * F.greatest("n", "p_n"))).select(
-            F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        if not pairs.isEmpty():
-            found = materialise(_verified(pairs, bags, similarity).select("a", "b"), "links")
-            links = found if links is None else links.union(found)
-            if not found.isEmpty():
-                comps = components(links if comps is None else found.union(
-                    comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-        done, pivots = pivots, pivots * PIVOTS_GROW
-        if active.isEmpty():
-            break
-    return comps
+    return linked(members, bags_of(docs, candidates, id_col, text_col), similarity)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id",
