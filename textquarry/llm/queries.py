@@ -44,9 +44,8 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(documents(spark, sf_dir), path,
                                   lambda: token_files.word_tokenizer(vocabulary), END_ID)
-    crc = F.pandas_udf(token_files.crc_of, "long")
     return token_files.read_documents(spark, path).select(
-        "doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def _listed(spans: str) -> Column:

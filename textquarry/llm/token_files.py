@@ -13,25 +13,34 @@ the ids and lengths of its documents.
 
 from __future__ import annotations
 
+import re
 import struct
-import zlib
+import unicodedata
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import filled, keyed_text
+from textquarry.llm.common import filled, keyed_text, text_batches
 
 MAGIC = b"DAC1"
 BLOCK = 512
 #: Tokens after which a segment ends; a longer document has one of its own.
 SEGMENT_TOKENS = 1 << 20
 #: Bound of the words whose ids a task keeps.
-MOST_WORDS = 400_000
+MOST_WORDS = 150_000
+
+#: Fixed value: how tokens that end a word are written in such a vocabulary.
+END_OF_WORD = "</w>"
+# Fixed value: the parts of a text in lower case, none of which reaches over white space.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+PARTS = regex.compile(SPLIT).findall
+ASCII_PARTS = re.compile(SPLIT.replace(r"\p{L}+", "[a-z]+").replace(r"\p{N}|", "[0-9]|")
+                         .replace(r"\p{L}\p{N}", "a-z0-9"), re.ASCII).findall
 
 Tokenize = Callable[[str], np.ndarray]
 
@@ -124,35 +133,52 @@ def open_segment(payload: bytes) -> tuple[list, np.ndarray, Codes]:
 def word_tokenizer(path: str) -> Tokenize:
     """Ids by the tokenizers library, from its JSON file.
 
-    White space only separates words for such a vocabulary, and no rule reaches
-    over a blank or line end. So words between these are encoded one at a time,
-    and known ones looked up. A text that spells out an added token is encoded
-    whole, as the library looks for those first.
+    The parts a text is split into are encoded apart from each other, so known
+    ones are looked up and what is new in a text is encoded by one call. A text
+    that spells out an added token is encoded whole, as the library looks for
+    those first, and so is one whose lower case depends on more than its letters.
     """
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     added = [t.content for t in library.get_added_tokens_decoder().values()]
-
-    class Known(dict):
-        def __missing__(self, word: str) -> list[int]:
-            if len(self) > MOST_WORDS:
-                self.clear()
-            if len(word) > 1 and word[-1] in ".," and word[:-1].isalpha():
-                ids = self[word[:-1]] + self[word[-1]]  # letters and marks never share a word
-            else:
-                ids = library.encode(word, add_special_tokens=False).ids
-            self[word] = ids
-            return ids
-
-    known = Known()
+    vocabulary = library.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    ends[[number for token, number in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
+
+    def encode(text: str) -> np.ndarray:
+        return np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    known: dict[str, bytes] = {}
+
+    def meet(parts: list[str]) -> None:
+        """Learn the new parts of a text by one call, as each of them ends with the
+        only token of its that ends a word."""
+        if len(known) > MOST_WORDS:
+            known.clear()
+        new = [p for p in set(parts) if p not in known]
+        if not new:
+            return
+        ids = encode(" ".join(new))
+        cuts = np.flatnonzero(ends[ids]) + 1
+        if len(cuts) != len(new):
+            known.update((part, encode(part).tobytes()) for part in new)
+            return
+        packed = ids.tobytes()
+        stops = (4 * cuts).tolist()
+        known.update((part, packed[begin:end]) for part, begin, end in zip(new, [0, *stops], stops))
 
     def tokenize(text: str) -> np.ndarray:
         if any(token in text for token in added):
-            return np.array(library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        words = text.replace("\n", " ").split(" ")
-        return np.array(list(chain.from_iterable([known[w] for w in words if w])),
-                        dtype=np.uint32)
+            return encode(text)
+        if text.isascii():
+            parts = ASCII_PARTS(text.lower())
+        elif "\u0130" in text or "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
+            return encode(text)  # these letters change with their neighbours in lower case
+        else:
+            parts = PARTS(text.lower())
+        meet(parts)
+        return np.frombuffer(b"".join([known[p] for p in parts]), dtype="<u4")
 
     return tokenize
 
@@ -165,7 +191,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: Callable[[], Tokeni
     by a hash of the text. Null texts count as empty. Further columns are ignored;
     an empty table gives files without segments.
     """
-    rows = keyed_text(docs, id_col, text_col).select("doc_id", filled(F.col("text")).alias("text"))
+    text_batches(docs.sparkSession)
+    # the key as text too, since pandas would make numbers with nulls among them inexact
+    rows = keyed_text(docs, id_col, text_col).select(
+        "doc_id", F.col("doc_id").cast("string").alias("key"), filled(F.col("text")).alias("text"))
     tie = F.xxhash64("text")
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,9 +210,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: Callable[[], Tokeni
                                  "n_tokens": [held], "payload": [segment(keys, texts)]})
 
         for batch in batches:
-            for key, text in zip(batch["doc_id"], batch["text"]):
+            for key, text in zip(batch["key"], batch["text"]):
                 ids = np.concatenate([tokenize(text), end])
-                keys.append(None if pd.isna(key) else int(key))
+                keys.append(None if key is None else int(key))
                 texts.append(ids)
                 held += len(ids)
                 if held >= SEGMENT_TOKENS:
@@ -193,7 +222,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: Callable[[], Tokeni
             yield closed()
 
     ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    ordered.mapInPandas(segments, "part int, seq int, n_docs int, n_tokens long, payload binary") \
+    ordered.select("key", "text").mapInPandas(segments, "part int, seq int, n_docs int, n_tokens long, payload binary") \
         .write.parquet(path)
 
 
@@ -259,6 +288,3 @@ def tokens_at(spark: SparkSession, path: str, places: DataFrame, width: int = 1
 
     return asked.mapInPandas(look, "place long, token long")
 
-
-def crc_of(ids: pd.Series) -> pd.Series:
-    return ids.map(zlib.crc32).astype("int64")
