@@ -32,7 +32,7 @@ BLOCK = 512
 #: Tokens after which a segment ends; a longer document has one of its own.
 SEGMENT_TOKENS = 1 << 20
 #: Bound of the words whose ids a task keeps.
-MOST_WORDS = 150_000
+MOST_WORDS = 350_000
 
 #: Fixed value: how tokens that end a word are written in such a vocabulary.
 END_OF_WORD = "</w>"
@@ -156,7 +156,7 @@ def word_tokenizer(path: str) -> Tokenize:
         only token of its that ends a word."""
         if len(known) > MOST_WORDS:
             known.clear()
-        new = [p for p in set(parts) if p not in known]
+        new = list(set(parts).difference(known))
         if not new:
             return
         ids = encode(" ".join(new))
@@ -178,7 +178,7 @@ def word_tokenizer(path: str) -> Tokenize:
         else:
             parts = PARTS(text.lower())
         meet(parts)
-        return np.frombuffer(b"".join([known[p] for p in parts]), dtype="<u4")
+        return np.frombuffer(b"".join(map(known.__getitem__, parts)), dtype="<u4")
 
     return tokenize
 
