@@ -66,3 +66,12 @@ def test_documents(spark):
     assert secrets.secrets(cases.empty(spark)).count() == 0
     one = secrets.secrets(cases.plain(spark, [(1, "x " + SECRET)])).first()
     assert [(s["kind"], s["start"], s["end"]) for s in one["spans"]] == [("assign", 2, 2 + SPAN)]
+
+
+@pytest.mark.parametrize("text", [
+    '"password": "\\u0068unter2hunter2xx"', "password: hunter2%2Bhunter2xx", "api_key:  '%68unter2hunter2xx'",
+    'token: password="%68unter2hunter2xx"', "a%20b secret = %2568unter2hunter2xx end"])
+def test_keyword_apart_from_its_encoded_value(text):
+    base, spans, _, _ = secrets.find("é " + text)
+    value = re.search(r"[%\\h]\S*unter2", "é " + text)
+    assert any(kind == 0 and s < value.start() < e for s, kind, e in set(spans) - set(base))

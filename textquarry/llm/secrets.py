@@ -1,8 +1,9 @@
 """Secrets in texts, also below layers of encoding.
 
-A worklist starts with the text. Each layer is scanned, then every stretch of it
-that is percent-encoded, holds Unicode escapes, or is base64 (of text or of
-compressed bytes) becomes a layer of its own, until none is left. A layer met
+A worklist starts with the text. Each layer is scanned, then it becomes another one
+with all percent-encoding decoded, another with all Unicode escapes decoded, and
+every stretch of it that is base64 (of text or of compressed bytes) becomes a layer
+of its own, until none is left. A layer met
 before at the same place is not entered again, so what unpacks to itself ends.
 Every character of a layer knows the stretch of the original text it comes from,
 so what is found below is reported where it stands in the text.
@@ -16,9 +17,11 @@ import bz2
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,16 +49,40 @@ PRINTABLE = 0.9
 
 class Layer(NamedTuple):
     """A text, and for each character where it starts and ends in the original;
-    None stands for the original itself."""
+    None stands for the original itself. ``parts`` are the rewritten words of it."""
 
     text: str
-    starts: list[int] | None
-    ends: list[int] | None
+    starts: np.ndarray | None
+    ends: np.ndarray | None
+    parts: tuple[tuple[int, int], ...] = ()
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
             return start, end
-        return self.starts[start], max(self.ends[start:end])
+        return int(self.starts[start]), int(self.ends[start:end].max())
+
+    @property
+    def flat(self) -> bool:
+        """Whether all characters come from one stretch."""
+        return self.starts is not None and not self.starts.strides[0]
+
+    def key(self) -> tuple:
+        """Equal for layers of the same text from the same places."""
+        text = hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest()
+        if self.flat:
+            return text, int(self.starts[0]), int(self.ends[0])
+        return text, hashlib.sha256(self.starts.tobytes() + self.ends.tobytes()).digest()
+
+
+def _flat(text: str, start: int, end: int) -> Layer:
+    return Layer(text, np.broadcast_to(np.int64(start), len(text)), np.broadcast_to(np.int64(end), len(text)))
+
+
+def _mapped(layer: Layer, text: str, first: np.ndarray, last: np.ndarray, parts: tuple = ()) -> Layer:
+    """A layer whose characters come from those from ``first`` to ``last`` of another."""
+    if layer.starts is None:
+        return Layer(text, first, last + 1, parts)
+    return Layer(text, layer.starts[first], layer.ends[last], parts)
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -99,11 +126,8 @@ def _unpack(data: bytes) -> tuple[bytes | None, bool]:
 
 
 def _percent(layer: Layer) -> Iterator[Layer]:
-    if "%" not in layer.text or not PERCENT.search(layer.text):
-        return
-    for token in TOKEN.finditer(layer.text):
-        if "%" in token[0] and PERCENT.search(token[0]):
-            yield _rewritten(layer, token, PERCENT_RUN, _percent_chars)
+    if "%" in layer.text and PERCENT.search(layer.text):
+        yield _rewritten(layer, PERCENT, PERCENT_RUN, _percent_chars)
 
 
 def _percent_chars(match: re.Match) -> list[tuple[str, int, int]]:
@@ -118,11 +142,8 @@ def _percent_chars(match: re.Match) -> list[tuple[str, int, int]]:
 
 
 def _escapes(layer: Layer) -> Iterator[Layer]:
-    if "\\" not in layer.text or not ESCAPE.search(layer.text):
-        return
-    for token in TOKEN.finditer(layer.text):
-        if "\\" in token[0] and ESCAPE.search(token[0]):
-            yield _rewritten(layer, token, ESCAPE, _escape_chars)
+    if "\\" in layer.text and ESCAPE.search(layer.text):
+        yield _rewritten(layer, ESCAPE, ESCAPE, _escape_chars)
 
 
 def _escape_chars(match: re.Match) -> list[tuple[str, int, int]]:
@@ -132,27 +153,51 @@ def _escape_chars(match: re.Match) -> list[tuple[str, int, int]]:
     return [(char, 0, len(match[0]))]
 
 
-def _rewritten(layer: Layer, token: re.Match, pattern: re.Pattern, chars) -> Layer:
-    text, starts, ends = [], [], []
+def _rewritten(layer: Layer, sign: re.Pattern, pattern: re.Pattern, chars) -> Layer:
+    """The whole layer with what ``pattern`` finds decoded, so that a keyword and its
+    value stay together."""
+    text, parts, flat = [], [], layer.flat
+    first, last = array("q"), array("q")
+    size = done = 0
 
-    def keep(begin: int, end: int) -> None:
-        for at in range(begin, end):
-            one = layer.origin(at, at + 1)
-            text.append(layer.text[at])
-            starts.append(one[0])
-            ends.append(one[1])
+    def keep(end: int) -> None:
+        nonlocal size, done
+        text.append(layer.text[done:end])
+        size += end - done
+        if not flat:
+            first.extend(range(done, end))
+            last.extend(range(done, end))
+        done = end
 
-    done = token.start()
-    for match in pattern.finditer(layer.text, token.start(), token.end()):
-        keep(done, match.start())
-        for char, begin, end in chars(match):
-            one = layer.origin(match.start() + begin, match.start() + end)
-            text.append(char)
-            starts.append(one[0])
-            ends.append(one[1])
-        done = match.end()
-    keep(done, token.end())
-    return Layer("".join(text), starts, ends)
+    for token in TOKEN.finditer(layer.text):
+        if not sign.search(token[0]):
+            continue
+        keep(token.start())
+        begin = size
+        for match in pattern.finditer(layer.text, token.start(), token.end()):
+            keep(match.start())
+            for char, one, end in chars(match):
+                text.append(char)
+                size += 1
+                if not flat:
+                    first.append(match.start() + one)
+                    last.append(match.start() + end - 1)
+            done = match.end()
+        keep(token.end())
+        parts.append((begin, size))
+    keep(len(layer.text))
+    if flat:
+        return _flat("".join(text), int(layer.starts[0]), int(layer.ends[0]))._replace(parts=tuple(parts))
+    return _mapped(layer, "".join(text), np.array(first, dtype=np.int64), np.array(last, dtype=np.int64), tuple(parts))
+
+
+def _found(layer: Layer) -> Iterator[tuple[int, int, int]]:
+    """Secrets of the layer, and of its rewritten words alone, where no word before
+    them takes their keyword for its value."""
+    yield from scan(layer.text)
+    for begin, stop in layer.parts:
+        for start, kind, end in scan(layer.text[begin:stop]):
+            yield begin + start, kind, begin + end
 
 
 def _base64(layer: Layer) -> Iterator[tuple[Layer, bool]]:
@@ -181,7 +226,7 @@ def _base64(layer: Layer) -> Iterator[tuple[Layer, bool]]:
             continue
         whole = layer.origin(match.start(), match.end())
         if packed:
-            yield Layer(text, [whole[0]] * len(text), [whole[1]] * len(text)), cut
+            yield _flat(text, *whole), cut
             continue
         starts, ends, at = [], [], 0
         for char in text:
@@ -191,7 +236,7 @@ def _base64(layer: Layer) -> Iterator[tuple[Layer, bool]]:
             starts.append(one[0])
             ends.append(one[1])
             at += size
-        yield Layer(text, starts, ends), cut
+        yield Layer(text, np.array(starts), np.array(ends)), cut
 
 
 def find(text: str) -> tuple[list, list, int, bool]:
@@ -200,7 +245,7 @@ def find(text: str) -> tuple[list, list, int, bool]:
     base = scan(text)
     spans = set(base)
     work = [Layer(text, None, None)]
-    met: set[tuple[bytes, int, int]] = set()
+    met: set[tuple] = set()
     entered, cut = 0, False
     while work:
         layer = work.pop()
@@ -209,13 +254,12 @@ def find(text: str) -> tuple[list, list, int, bool]:
             cut |= short
             if not found.text:
                 continue
-            key = (hashlib.sha256(found.text.encode("utf-8", "surrogatepass")).digest(),
-                   found.starts[0], found.ends[-1])
+            key = found.key()
             if key in met:
                 continue
             met.add(key)
             entered += 1
-            for start, kind, end in scan(found.text):
+            for start, kind, end in _found(found):
                 begin, stop = found.origin(start, end)
                 spans.add((begin, kind, stop))
             work.append(found)
