@@ -75,3 +75,44 @@ def test_keyword_apart_from_its_encoded_value(text):
     base, spans, _, _ = secrets.find("é " + text)
     value = re.search(r"[%\\h]\S*unter2", "é " + text)
     assert any(kind == 0 and s < value.start() < e for s, kind, e in set(spans) - set(base))
+
+
+def wrapped_at(text, width, end="\n"):
+    return end.join(text[i:i + width] for i in range(0, len(text), width))
+
+
+NOISE = bytes(range(256)) * 3
+LONG = b"some words before it " + SECRET.encode() + b" and some after"
+
+
+@pytest.mark.parametrize("encoded", [
+    *(wrapped_at(b64(b"x" * n + LONG), 64, end) for n in (0, 17, 29) for end in ("\n", "\r\n", "\n    ")),
+    wrapped_at(b64(gzip.compress(NOISE + LONG)), 76), "a line\n" + wrapped_at(b64(bz2.compress(NOISE + LONG)), 76) + "\nend",
+    *(glue + b64(LONG) for glue in ("/path/", "id_", "session-", "x")), *(b64(LONG).rstrip("=") + "/" + "y" * n for n in range(4)),
+    *(glue + b64(packed(LONG)) for glue in ("/path/", "id_") for packed in (gzip.compress, zlib.compress, bz2.compress)),
+    *(b64(packed(b"first") + packed(LONG)) for packed in (gzip.compress, zlib.compress, bz2.compress)),
+    b64(gzip.compress(b"first") + bz2.compress(NOISE + gzip.compress(LONG)))])
+def test_wrapped_glued_and_concatenated(encoded):
+    text = "é before " + encoded + " after"
+    _, spans, _, cut = secrets.find(text)
+    start = text.index(encoded)
+    assert not cut
+    assert any(kind == 0 and start - 7 <= s < e <= start + len(encoded) for s, kind, e in spans)
+
+
+def test_glued_text_is_mapped_closely():
+    text = "/path/" + wrapped_at(b64(LONG), 20)
+    at = LONG.index(SECRET.encode())
+    (start, kind, end), = secrets.find(text)[1]
+    inner = wrapped_at("a" * len(b64(LONG)), 20)
+    places = [i for i, c in enumerate(inner) if c == "a"]
+    assert kind == 0 and start == 6 + places[at * 4 // 3] and end == 7 + places[-(-(at + SPAN) * 4 // 3) - 1]
+
+
+@pytest.mark.parametrize("packed", [gzip.compress, zlib.compress, bz2.compress])
+def test_all_of_a_long_packed_layer_is_read(monkeypatch, packed):
+    monkeypatch.setattr(secrets, "MOST_UNPACKED", 100)
+    monkeypatch.setattr(secrets, "OVERLAP", 60)
+    for before in range(480, 620, 7):
+        _, spans, _, cut = secrets.find(b64(packed(b"a " * before + SECRET.encode() + b" b" * 900)))
+        assert cut and any(kind == 0 for _, kind, _ in spans)

@@ -12,7 +12,6 @@ so what is found below is reported where it stands in the text.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import re
@@ -39,12 +38,22 @@ HINTS = ("password", "passwd", "secret", "token", "api")
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs of base64 characters that at most line ends (and indents) part.
+BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]+[ \t]*[\r\n]+[ \t]*)*[A-Za-z0-9+/_-]+")
+ONE_LINE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+NOT_BASE64 = re.compile(r"[ \t\r\n]+")
+STANDARD = str.maketrans("-_", "+/")
+#: No kind of secret, and nothing that holds one, is shorter.
+LEAST_ENCODED = 16
+#: All patterns are of these bytes, so what else stands beside them does not matter.
+PLAIN = re.compile(rb"[\t\r\n\x20-\x7e]{16,}")
+#: Where compressed bytes may start.
+PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|[\x08\x18\x28\x38\x48\x58\x68\x78](?=(.))", re.S)
 TOKEN = re.compile(r"\S+")
-#: Bytes that one compressed stretch may unpack to; beyond it, ``cut`` is set.
+#: Bytes of what one compressed stretch holds that are read at a time, each with the
+#: last of those before; beyond the first, ``cut`` is set.
 MOST_UNPACKED = 1 << 26
-#: Share of the characters of a decoded text that have to be printable.
-PRINTABLE = 0.9
+OVERLAP = 1 << 16
 
 
 class Layer(NamedTuple):
@@ -99,30 +108,41 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    plain = sum(c.isprintable() or c in "\t\r\n" for c in text)
-    return text if text and plain >= PRINTABLE * len(text) else None
-
-
-def _unpack(data: bytes) -> tuple[bytes | None, bool]:
-    """(what compressed bytes hold or None, whether that was cut)."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            open_one = zlib.decompressobj(31)
-        elif data[:3] == b"BZh":
-            open_one = bz2.BZ2Decompressor()
-        elif len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-            open_one = zlib.decompressobj()
-        else:
-            return None, False
-        held = open_one.decompress(data, MOST_UNPACKED)
-        return held, not open_one.eof
-    except (zlib.error, OSError, EOFError, ValueError):
-        return None, False
+def _opened(data: bytes, at: int):
+    """What decompresses the stream at a place, None if there cannot be one."""
+    if data[at:at + 1] == b"B":
+        return bz2.BZ2Decompressor()
+    if data[at] == 0x1f:
+        return zlib.decompressobj(31)
+    return zlib.decompressobj() if (data[at] << 8 | data[at + 1]) % 31 == 0 else None
+
+
+def _unpacked(data: bytes) -> Iterator[tuple[bytes, bool]]:
+    """What each compressed stream in ``data`` holds, wherever it starts, in pieces of at
+    most MOST_UNPACKED bytes and the OVERLAP before; whether the piece is not the whole."""
+    at = 0
+    while match := PACKED.search(data, at):
+        at = match.start() + 1
+        stream = _opened(data, match.start())
+        if stream is None:
+            continue
+        zipped, given, before = isinstance(stream, bz2.BZ2Decompressor), data[match.start():], b""
+        try:
+            while True:
+                held = stream.decompress(given, MOST_UNPACKED)
+                given = b"" if zipped else stream.unconsumed_tail
+                ended = stream.eof
+                # no more comes of a stream that stops before its end
+                last = ended or not held or (stream.needs_input if zipped else not given and len(held) < MOST_UNPACKED)
+                if held or before:
+                    yield before + held, bool(before) or not ended
+                if last:
+                    break
+                before = (before + held)[-OVERLAP:]
+        except (zlib.error, OSError, EOFError, ValueError):
+            continue
+        if ended:
+            at = max(at, len(data) - len(stream.unused_data))
 
 
 def _percent(layer: Layer) -> Iterator[Layer]:
@@ -201,42 +221,51 @@ def _found(layer: Layer) -> Iterator[tuple[int, int, int]]:
 
 
 def _base64(layer: Layer) -> Iterator[tuple[Layer, bool]]:
-    for match in BASE64.finditer(layer.text):
-        body = match[0].rstrip("=")
-        if len(body) % 4 == 1:
+    parted = "\n" in layer.text or "\r" in layer.text
+    for match in (BASE64 if parted else ONE_LINE).finditer(layer.text):
+        if match.end() - match.start() < LEAST_ENCODED:
             continue
-        try:
-            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        text, cut, packed = _readable(data), False, False
-        seen = set()
-        while text is None:
-            digest = hashlib.sha256(data).digest()
-            if digest in seen:
-                break
-            seen.add(digest)
-            data, short = _unpack(data)
-            cut |= short
-            if data is None:
-                break
-            packed = True
-            text = _readable(data)
-        if text is None:
+        run, places = match[0], np.arange(match.start(), match.end())
+        if parted and NOT_BASE64.search(run):
+            gone = np.zeros(len(run), dtype=bool)
+            for end in NOT_BASE64.finditer(run):
+                gone[end.start():end.end()] = True
+            run, places = NOT_BASE64.sub("", run), places[~gone]
+            if len(run) < LEAST_ENCODED:
+                continue
+        run = run.translate(STANDARD)
+        # what is glued before it may shift where the encoded bytes start
+        for shift in range(4):
+            body = run[shift:]
+            body = body[:-1] if len(body) % 4 == 1 else body
+            data = base64.b64decode(body + "=" * (-len(body) % 4))
+            for plain in PLAIN.finditer(data):
+                at = np.arange(plain.start(), plain.end())
+                first, last = shift + at * 4 // 3, shift + (at * 4 + 3) // 3
+                yield _mapped(layer, plain[0].decode("ascii"), places[first], places[last]), False
+            yield from _packed(layer, data, places[shift:])
+
+
+def _packed(layer: Layer, data: bytes, places: np.ndarray) -> Iterator[tuple[Layer, bool]]:
+    """The plain stretches of what is compressed in the decoded bytes of a run, and of
+    what is compressed in that."""
+    if not PACKED.search(data):
+        return
+    whole = layer.origin(int(places[0]), int(places[-1]) + 1)
+    work, seen = [_unpacked(data)], set()
+    while work:
+        piece = next(work[-1], None)
+        if piece is None:
+            work.pop()
             continue
-        whole = layer.origin(match.start(), match.end())
-        if packed:
-            yield _flat(text, *whole), cut
+        held, short = piece
+        digest = hashlib.sha256(held).digest()
+        if digest in seen:
             continue
-        starts, ends, at = [], [], 0
-        for char in text:
-            size = len(char.encode())
-            begin, end = match.start() + at * 4 // 3, match.start() + -(-(at + size) * 4 // 3)
-            one = layer.origin(begin, min(end, match.end()))
-            starts.append(one[0])
-            ends.append(one[1])
-            at += size
-        yield Layer(text, np.array(starts), np.array(ends)), cut
+        seen.add(digest)
+        for plain in PLAIN.finditer(held):
+            yield _flat(plain[0].decode("ascii"), *whole), short
+        work.append(_unpacked(held))
 
 
 def find(text: str) -> tuple[list, list, int, bool]:
@@ -270,8 +299,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per document with its secrets, repeated rows too.
 
     ``base`` are those in the plain text, ``spans`` all, ``layers`` the number of
-    decoded layers, ``cut`` whether a compressed one was too long to be read to its
-    end. Null and empty texts have none; an empty table gives no rows. Further
+    decoded layers, ``cut`` whether a compressed one was too long to be read at once
+    (then it was read in pieces) or stops before its end. Null and empty texts have none; an empty table gives no rows. Further
     columns are ignored. Columns: doc_id, base, spans (arrays of kind, start, end),
     layers, cut.
     """
