@@ -72,3 +72,37 @@ def test_proximity(spark):
     # 'common' is the rarest, then 'odd' and 'rare' with two documents each
     near = {ids[r["row"]] for r in decontaminate.proximity(index, tests, 3).collect()}
     assert near <= {1, 4}
+
+
+def brute_near(texts, items, within, share):
+    found = {}
+    for row, text in texts:
+        own = words(text)
+        for item, wanted in items:
+            terms = set(words(wanted))
+            for first in range(len(own)):
+                for last in range(first, min(len(own), first + within + 1)):
+                    if terms and len(terms & set(own[first:last + 1])) >= max(1, share * len(terms) - 1e-9):
+                        key = row, item
+                        found[key] = min(last - first, found.get(key, last - first))
+    return found
+
+
+@pytest.mark.parametrize("within,share", [(3, 2 / 3), (6, 1.0), (5, 0.5), (2, 0.1)])
+def test_proximity_against_brute_force(spark, within, share):
+    source = random.Random(within)
+
+    def text(n):
+        return " ".join(source.choice("abcdefgh") + source.choice(["", "", "x"]) for _ in range(n))
+
+    items = [(i, text(i % 7)) for i in range(14)] + [(20, "rare"), (21, "common rare odd"), (22, "nowhere a b")]
+    texts = [(i, text(source.randrange(30))) for i in range(40)] + [
+        (50, "rare x x odd"), (51, "odd x x x x rare"), (52, "rare only"), (53, "x x common")]
+    tests = decontaminate.read_tests(spark.createDataFrame(items, "item_id long, text string"))
+    index = decontaminate.build_index(cases.plain(spark, texts), tests.vocabulary)
+    ids = {r["row"]: r["doc_id"] for r in index.where("term < 0").collect()}
+    names = {r["item"]: r["item_id"] for r in tests.items.select("item", "item_id").distinct().collect()}
+    near = {(ids[r["row"]], names[r["item"]]): r["distance"]
+            for r in decontaminate.proximity(index, tests, within, share).collect()}
+    assert near == brute_near(texts, items, within, share)
+    assert (50, 21) in near or (within, share) != (3, 2 / 3)

@@ -22,6 +22,8 @@ from textquarry.session import materialise
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+#: Share of an item's different words that a near match holds.
+SHARE = 2 / 3
 #: Stands after the last word of a document, so that its position is the word count.
 END = "\x00"
 
@@ -156,19 +158,39 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIN
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
-def proximity(index: DataFrame, tests: Tests, within: int) -> DataFrame:
-    """(row, item, distance): documents where the two rarest words of an item that the
-    corpus has stand at most ``within`` words apart, in any order; the least distance."""
+def proximity(index: DataFrame, tests: Tests, within: int, share: float = SHARE) -> DataFrame:
+    """(row, item, distance): documents where at least ``share`` of the different words of
+    an item stand together, in any order, the first and the last at most ``within``
+    words apart; the least distance. An item of one word is found at distance 0.
+
+    Of an item's k words, m of them needed, two of the k - m + 2 rarest (one of one, if
+    one is needed) have to stand together, so these choose the candidates and no match
+    is lost; then the positions of all words of the item are compared.
+    """
     postings = index.where(F.col("term") >= 0).select("row", "pos", "term")
     counts = materialise(postings.groupBy("term").count(), "term-counts")
-    rank = F.row_number().over(Window.partitionBy("item").orderBy("count", "term"))
-    rarest = tests.items.select("item", "term").distinct().join(counts, "term").withColumn(
-        "rank", rank).where("rank <= 2").select("item", "term")
-    hits = postings.join(materialise(rarest, "rarest"), "term")
+    distinct = tests.items.select("item", "term").distinct()
+    needed = distinct.groupBy("item").agg(F.count("*").alias("k")).select("item", "k", F.greatest(
+        F.lit(1), F.ceil(F.lit(share) * F.col("k") - F.lit(1e-9))).cast("int").alias("need"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("count", F.lit(0)), "term"))
+    words_of = materialise(distinct.join(counts, "term", "left").withColumn("rank", rank).join(
+        needed, "item").select("item", "term", "k", "need", "rank"), "item-terms")
+    rarest = words_of.where(F.col("rank") <= F.col("k") - F.col("need") + F.least("need", F.lit(2)))
+    hits = postings.join(rarest.select("item", "term", "need"), "term")
     order = Window.partitionBy("row", "item").orderBy("pos")
     # the nearest two different words are neighbours in the merged list
-    apart = F.when(F.lag("term").over(order) != F.col("term"), F.col("pos") - F.lag("pos").over(order))
-    return hits.withColumn("distance", apart).where(F.col("distance") <= within).groupBy(
+    near = (F.lag("term").over(order) != F.col("term")) & (F.col("pos") - F.lag("pos").over(order) <= within)
+    candidates = materialise(hits.withColumn("near", (F.col("need") == 1) | near).where("near").select(
+        "row", "item").distinct(), "near-candidates")
+    there = candidates.join(words_of.select("item", "term", "need"), "item").join(postings, ["row", "term"])
+    again = F.lead("pos").over(Window.partitionBy("row", "item", "term").orderBy("pos"))
+    ending = there.withColumn("again", again).withColumn("before", F.collect_list(
+        F.struct("pos", "again")).over(order.rangeBetween(-within, 0)))
+    # the last place of each word up to here; the window starts at the need-th from the end
+    lasts = F.filter("before", lambda x: x["again"].isNull() | (x["again"] > F.col("pos")))
+    return ending.select("row", "item", "pos", "need", F.array_sort(F.transform(
+        lasts, lambda x: x["pos"])).alias("lasts")).where(F.size("lasts") >= F.col("need")).select(
+        "row", "item", (F.col("pos") - F.element_at("lasts", -F.col("need"))).alias("distance")).groupBy(
         "row", "item").agg(F.min("distance").alias("distance"))
 
 
