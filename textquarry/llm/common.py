@@ -30,3 +30,21 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
+
+
+# Fixed value: the reflected polynomial of CRC-32.
+_POLYNOMIAL = 0xEDB88320
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB expression for the unsigned CRC-32 of a text's UTF-8 bytes, which DuckDB lacks."""
+    digits = f"hex(encode({text}))"
+
+    def digit(at: str) -> str:
+        return f"(strpos('0123456789ABCDEF', substr({digits}, {at}, 1)) - 1)"
+
+    taken = f"list_transform(range(1, strlen({digits}), 2), lambda i: {digit('i')} * 16 + {digit('i + 1')})"
+    # each byte is one operation that takes it in and eight that shift
+    steps = f"flatten(list_transform({taken}, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, s: CASE WHEN s >= 0 "
+            f"THEN xor(c, s) ELSE xor(c >> 1, (c & 1) * {_POLYNOMIAL}) END), 4294967295)")

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import byte_bpe, decontaminate, exact_dedup, kd_shards, language, near_dedup, repeats, secrets, token_files, toxicity
+from textquarry.llm import (
+    byte_bpe, decontaminate, exact_dedup, kd_shards, language, merkle, near_dedup, repeats, secrets, token_files,
+    toxicity)
 from textquarry.llm.common import documents, table
 from textquarry.session import scratch_path, ship_code
 
@@ -91,6 +93,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.manifest(documents(spark, sf_dir), presented=merkle.tampered())
+    return merkle.verified(rows).select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root", "verified")
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -102,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle": op11_merkle,
 }
 
 
@@ -111,4 +121,5 @@ def all_queries() -> dict[str, Query]:
 
 
 def all_sql() -> dict[str, str]:
-    return {"op5_decontaminate": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL}
+    return {"op5_decontaminate": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL,
+            "op11_merkle": merkle.SQL}
