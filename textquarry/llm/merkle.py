@@ -43,27 +43,32 @@ def fold(leaf: Column, proof: Column) -> Column:
     return F.aggregate(proof, leaf, lambda node, step: F.sha2(F.concat(step["left"], node, step["right"]), 256))
 
 
+def by_group(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (part, group, ...) with the columns of ``known`` (group, ...).
+
+    A group may hold any share of the rows, so they meet over parts and groups.
+    """
+    spans = rows.select("part", "group").distinct().join(known, "group")
+    return rows.join(spans, ["part", "group"])
+
+
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows (group, ...) with ``idx`` from 0 in their group and ``n``, the size of the group, stored."""
+    """Rows (group, ...) with their ``part`` of the sort, ``idx`` from 0 in their group and
+    ``n``, the size of the group, stored."""
     placed = materialise(
         rows.repartitionByRange("group", *order).sortWithinPartitions("group", *order)
         .withColumn("place", F.monotonically_increasing_id()), "placed")
-    part = F.shiftright("place", _ROW_BITS).alias("part")
+    placed = placed.withColumn("part", F.shiftright("place", _ROW_BITS))
     # one row per partition of the sort
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.broadcast(placed.groupBy(part).count().select(
+    starts = F.broadcast(placed.groupBy("part").count().select(
         "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start")))
-
-    def position(frame: DataFrame, place: str, name: str) -> DataFrame:
-        within = F.col(place).bitwiseAND((1 << _ROW_BITS) - 1)
-        return frame.withColumn("part", F.shiftright(place, _ROW_BITS)).join(starts, "part") \
-            .withColumn(name, F.col("start") + within).drop("part", "start")
-
-    groups = position(placed.groupBy("group").agg(F.min("place").alias("first"), F.count("*").alias("n")),
-                      "first", "head").drop("first")
+    position = F.col("start") + F.col("place").bitwiseAND((1 << _ROW_BITS) - 1)
+    groups = placed.groupBy("group").agg(F.min("place").alias("place"), F.count("*").alias("n")).withColumn(
+        "part", F.shiftright("place", _ROW_BITS)).join(starts, "part").select("group", "n", position.alias("head"))
     return materialise(
-        position(placed, "place", "at").join(groups, "group")
-        .withColumn("idx", F.col("at") - F.col("head")).drop("place", "at", "head"), "numbered")
+        by_group(placed, groups).join(starts, "part").withColumn("idx", position - F.col("head"))
+        .drop("place", "start", "head"), "numbered")
 
 
 def _with_siblings(level: DataFrame, arity: int) -> DataFrame:
@@ -148,7 +153,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group_col: str =
     tops = materialise(listed.join(upper, ["group", "idx"], "left").select(
         F.col("member").alias("group"), F.col("hash").alias("subroot"),
         F.coalesce("path", F.array().cast(_STEP)).alias("upper"), whole.alias("root")), "tops")
-    found = leaves.join(paths, ["group", "idx"], "left").join(tops, "group")
+    found = by_group(leaves.join(paths, ["group", "idx"], "left"), tops)
     return found.select(
         "doc_id", F.col("hash").alias("leaf"), "presented", "subroot", "root",
         F.concat(F.coalesce("path", F.array().cast(_STEP)), "upper").alias("proof"))
