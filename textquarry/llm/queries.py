@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import (
-    byte_bpe, decontaminate, exact_dedup, kd_shards, language, merkle, near_dedup, repeats, secrets, token_files,
-    toxicity)
+    byte_bpe, decontaminate, exact_dedup, kd_shards, language, merkle, near_dedup, repeats, secrets, spelling,
+    token_files, toxicity)
 from textquarry.llm.common import documents, table
 from textquarry.session import scratch_path, ship_code
 
@@ -100,6 +100,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "folded_root", "verified")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -112,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
     "op11_merkle": op11_merkle,
+    "op12_spelling": op12_spelling,
 }
 
 
@@ -122,4 +127,4 @@ def all_queries() -> dict[str, Query]:
 
 def all_sql() -> dict[str, str]:
     return {"op5_decontaminate": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL,
-            "op11_merkle": merkle.SQL}
+            "op11_merkle": merkle.SQL, "op12_spelling": spelling.SQL}
