@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import (
-    byte_bpe, decontaminate, exact_dedup, kd_shards, language, merkle, near_dedup, repeats, secrets, spelling,
-    token_files, toxicity)
+    byte_bpe, decontaminate, exact_dedup, kd_shards, language, merkle, near_dedup, quality, repeats, secrets,
+    spelling, token_files, toxicity)
 from textquarry.llm.common import documents, table
 from textquarry.session import scratch_path, ship_code
 
@@ -104,6 +104,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -117,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
     "op11_merkle": op11_merkle,
     "op12_spelling": op12_spelling,
+    "op13_quality": op13_quality,
 }
 
 
