@@ -141,7 +141,7 @@ def votes(counts: np.ndarray, model: Model, neighbours: int = NEIGHBOURS) -> np.
 
 def sample(docs: DataFrame, labels: DataFrame, most_texts: int, id_col: str, text_col: str, label_id: str,
            label_col: str) -> DataFrame:
-    """(text, label): at most ``most_texts`` distinct labelled texts, taken by a hash of the text.
+    """(text, label): at most ``most_texts`` distinct labelled texts, taken by a hash of the id.
 
     A label that is null or disputed counts as absent; equal texts are one, with the mean
     of their labels.
@@ -149,15 +149,16 @@ def sample(docs: DataFrame, labels: DataFrame, most_texts: int, id_col: str, tex
     known = labels.select(F.col(f"`{label_id}`").cast("long").alias("doc_id"),
                           F.col(f"`{label_col}`").cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
-    agreed = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("top")).where(
-        "label = top").select("doc_id", "label")
+    agreed = materialise(known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("top")).where(
+        "label = top").select("doc_id", "label"), "labels")
+    share = min(1.0, most_texts / max(1, agreed.count()))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40))
+    # at most most_texts ids, so only the texts drawn are moved
+    chosen = materialise(agreed.where(drawn).limit(most_texts), "chosen")
     texts = keyed_text(docs, id_col, text_col).select("doc_id", filled(F.col("text")).alias("text"))
-    drawn = F.shiftright(F.xxhash64("text"), 1).bitwiseAND((1 << 62) - 1)
-    rows = materialise(texts.join(agreed, "doc_id").select("text", "label", drawn.alias("drawn")), "labelled")
-    distinct = rows.agg(F.approx_count_distinct("drawn", 0.02)).first()[0]
-    # a little less than the bound, as the count is approximate, then the bound itself
-    limit = int(min(1.0, 0.9 * most_texts / max(1, distinct)) * (1 << 62))
-    return rows.where(F.col("drawn") <= limit).groupBy("text").agg(F.avg("label").alias("label")).limit(most_texts)
+    # an id may stand for any number of texts
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(
+        F.avg("label").alias("label")).limit(most_texts)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_texts: int = MOST_TEXTS, id_col: str = "doc_id",
