@@ -163,3 +163,58 @@ def test_repeated_ids_do_not_multiply_rows(spark):
     labels = spark.createDataFrame([(1, 4), (1, 3), (2, 0)], "query_id long, cluster int")
     got = profiles.attach_labels(corpus, labels).orderBy("query_id", "name").collect()
     assert [(r["query_id"], r["name"], r["cluster"]) for r in got] == [(1, "a", 3), (1, "b", 3), (2, "c", 0)]
+
+
+@pytest.mark.parametrize("seed,digits,rung_edges", [(12, 1, 30), (14, 0, 60)])
+def test_small_problems_and_blocks_change_nothing(spark, seed, digits, rung_edges):
+    matrix = np.round(blobs(120, 5, 2, 0.3, seed), digits)
+    got, n = clusters_of(density_clusters(points_frame(spark, matrix), 5, 3, 0.1, 32, rung_edges))
+    assert n == len(matrix)
+    assert got == set(brute.density_clusters(matrix, 5, 3, 0.1))
+
+
+def test_spanning_tree_is_minimal(spark):
+    from textquarry.operators.density import spanning_tree
+
+    matrix = blobs(200, 6, 3, 0.2, 21)
+    frame = points_frame(spark, matrix).selectExpr("query_id AS site", "1L AS weight", "v")
+    sites, blocks = partition_sites(frame, block_rows=32)
+    sites = core_distances(sites, blocks, 3)
+    found = sorted(r["w"] for r in spanning_tree(sites, blocks).collect())
+    core = brute.core_distances(matrix, 3)
+    gaps = np.maximum(brute.distances(matrix), np.maximum(core[:, None], core[None, :]))
+    inside, best, expected = np.zeros(200, dtype=bool), np.full(200, np.inf), []
+    best[0] = 0.0
+    for _ in range(200):
+        at = int(np.argmin(np.where(inside, np.inf, best)))
+        inside[at] = True
+        expected.append(best[at])
+        best = np.minimum(best, gaps[at])
+    assert blocks == 8 and np.allclose(found, sorted(expected)[1:])
+
+
+def test_folding_equals_one_task(spark):
+    from textquarry.operators.density import best_below
+
+    source = np.random.default_rng(6)
+    rows = [(f"n{i}", f"n{source.integers(max(0, i - 4), i)}" if i % 40 else "top", float(source.random() * (1 + 200 / (i + 1))))
+            for i in range(1, 160)]
+    nodes = spark.createDataFrame(rows, "node string, parent string, stability double")
+    one, many = ({r["node"]: r["best"] for r in best_below(nodes, size).collect()} for size in (1000, 3))
+    assert len(one) == len(rows) and one.keys() == many.keys()
+    assert all(np.isclose(one[n], many[n]) for n in one)
+
+
+def test_problems_are_bounded(spark):
+    from textquarry.operators.density import _problems
+
+    source = np.random.default_rng(9)
+    # a path whose lengths grow: one component takes in node after node
+    edges = [(f"s{i}", f"s{i + 1}", float(i // 3)) for i in range(300)] + [(f"s{i}", f"t{i}", 50.0) for i in range(300)]
+    source.shuffle(edges)
+    tree = spark.createDataFrame([(a, b, float(w)) for a, b, w in edges], "a string, b string, w double")
+    sizes = spark.createDataFrame([(n, 1) for n in sorted({x for a, b, _ in edges for x in (a, b)})], "node string, size long")
+    problems, flat, sizes = _problems(tree, sizes, 20)
+    assert problems.groupBy("problem").count().agg({"count": "max"}).first()[0] <= 20
+    assert flat.groupBy("problem").agg({"w": "min"}).count() >= 1
+    assert problems.count() + flat.count() == len(edges)
