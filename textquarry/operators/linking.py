@@ -9,7 +9,9 @@ a group is left out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.session import materialise
@@ -68,11 +70,14 @@ def sharing(exploded: DataFrame) -> DataFrame:
         "place", F.struct("met", F.xxhash64("node").alias("hash"), "node")).drop("met"), "members")
 
 
-def linked(members: DataFrame, bags: DataFrame, similarity: float) -> DataFrame | None:
+def linked(members: DataFrame, bags: DataFrame, similarity: float,
+           alike: Callable[[str, str], Column] | None = None) -> DataFrame | None:
     """(node, comp) of all nodes that are similar to another; None if there is none.
 
     ``members`` come from :func:`sharing`; ``bags`` has (node, bag) of each of them, a
-    bag being distinct numbers. Similarity is shared numbers over all numbers.
+    bag being distinct numbers. Similarity is shared numbers over all numbers. ``alike``
+    may reject a pair before its bags are fetched, by the columns ``bits`` of the members
+    whose names it is given.
     """
     largest = members.agg(F.max("count")).first()[0] or 0
     links = tested = comps = None
@@ -87,11 +92,13 @@ def linked(members: DataFrame, bags: DataFrame, similarity: float) -> DataFrame
         order = Window.partitionBy("band").orderBy("place")
         chosen = active.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).where(
             F.col("rank") > done).select("band", F.col("node").alias("p"), F.col("n").alias("p_n"),
-                                         F.col("comp").alias("p_comp"), F.col("place").alias("p_place"))
+                                         F.col("comp").alias("p_comp"), F.col("place").alias("p_place"),
+                                         *([F.col("bits").alias("p_bits")] if alike else []))
         # members before the pivot have been pivots themselves
         pairs = chosen.join(active, "band").where(
             (F.col("place") > F.col("p_place")) & (F.col("comp") != F.col("p_comp"))
-            & (F.least("n", "p_n") >= F.lit(similarity) * F.greatest("n", "p_n") - F.lit(1e-9))).select(
+            & (F.least("n", "p_n") >= F.lit(similarity) * F.greatest("n", "p_n") - F.lit(1e-9))
+            & (alike("bits", "p_bits") if alike else F.lit(True))).select(
             F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
