@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.session import materialise
+
+#: Column with the key of a row: ids may repeat or be null.
+ROW = "_row_key"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -20,6 +26,21 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                        F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """The documents with a key of each row that is the same however often they are read:
+    its file and place in it. What is not read from files alone is stored first."""
+    key = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    try:
+        return docs.select("*", key.alias(ROW))
+    except AnalysisException:
+        return materialise(docs, "rows").select("*", key.alias(ROW))
+
+
+def without_rows(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of :func:`with_rows` whose key is not among (row)."""
+    return keyed.join(gone.select(F.col("row").alias(ROW)), ROW, "left_anti").drop(ROW)
+
+
 def filled(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import filled
+from textquarry.llm.common import ROW, filled, with_rows, without_rows
 from textquarry.session import materialise
 
 # Which letters are lower-cased and what a word is.
@@ -64,8 +64,9 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id",
     Spark broadcasts the vocabulary if its stored size allows, else it joins by
     shuffling.
     """
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
     numbered = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
+        row.alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
         F.col(f"`{text_col}`").cast("string").alias("text"))
     tokens = numbered.select("row", "doc_id", F.posexplode(
         F.array_append(words(F.col("text")), F.lit(END))).alias("pos", "word"))
@@ -135,6 +136,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW,
     gives no rows. Further columns are ignored.
     Columns: doc_id, n_words, n_hit, n_items, item_ids, contaminated.
     """
+    return _decided(docs, benchmark, width, id_col, text_col, item_col, item_text_col).drop("row")
+
+
+def _decided(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text",
+             item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     tests = read_tests(benchmark, item_col, item_text_col)
     index = build_index(docs, tests.vocabulary, id_col, text_col)
     names = tests.items.select("item", F.col("item_id").cast("string").alias("name")).distinct()
@@ -145,17 +151,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW,
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     item_ids = F.coalesce(F.col("item_ids"), F.array().cast("array<string>"))
     return ends.join(hits, "row", "left").select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
+        "row", "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
         F.size(item_ids).cast("long").alias("n_items"), item_ids.alias("item_ids"),
         (n_hit > 0).alias("contaminated"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The documents that hold no window, with all their columns; ids are expected to be
-    unique, and documents without an id are kept."""
-    gone = contamination(docs, benchmark, width).where(
-        F.col("contaminated") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The documents that hold no window, with all their columns, row by row: ids may repeat
+    or be null. Null and empty texts stay; without a benchmark all do."""
+    keyed = with_rows(docs)
+    return without_rows(keyed, _decided(keyed, benchmark, width).where("contaminated"))
 
 
 def proximity(index: DataFrame, tests: Tests, within: int, share: float = SHARE) -> DataFrame:

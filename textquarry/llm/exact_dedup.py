@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import filled, keyed_text
+from textquarry.llm.common import ROW, filled, with_rows, without_rows
 from textquarry.session import materialise
 
 # Fixed value: what counts as one space in a comparison.
@@ -25,9 +25,9 @@ def normalised(text: Column) -> Column:
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, text_sha256): one row per document, stored once."""
-    rows = keyed_text(docs, id_col, text_col).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id",
-        F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+                       F.sha2(normalised(F.col(f"`{text_col}`").cast("string")), 256).alias("text_sha256"))
     return materialise(rows, "digests")
 
 
@@ -62,26 +62,30 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one stays. An empty table gives no rows. Further columns are ignored.
     Columns: doc_id, keep_id, group_size, kept, text_sha256.
     """
+    return _decided(docs, id_col, text_col, support).drop("row")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, support: float) -> DataFrame:
     rows = digests(docs, id_col, text_col)
     winners = materialise(heavy_hitters(rows, support), "heavy")
     rest = rows.join(F.broadcast(winners), "text_sha256", "left_anti")
     found = rows.join(F.broadcast(winners), "text_sha256").unionByName(
         rest.join(_survivors(rest), "text_sha256"))
     return found.select(
-        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
+        "row", "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 support: float = 0.001) -> DataFrame:
-    """The documents that stay, with all their columns.
+    """The documents that stay, with all their columns: of rows with an id, one of each text.
 
-    Rows are dropped by id, so ids are expected to be unique; a document with a
-    null id is kept.
+    Of equal texts the row with the smallest id stays, one of them where it repeats. Rows
+    without an id are kept. An empty table stays empty.
     """
-    gone = exact_duplicates(docs, id_col, text_col, support).where(
-        ~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    keyed = with_rows(docs)
+    return without_rows(keyed, _decided(keyed, id_col, text_col, support).where(
+        ~F.col("kept") & F.col("doc_id").isNotNull()))
 
 
 # DuckDB counterpart of exact_duplicates over ``documents``.

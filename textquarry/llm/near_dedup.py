@@ -8,7 +8,8 @@ signature is the earliest point among its own, and two bags agree in it with the
 probability of their weighted Jaccard similarity. Points come in order of time,
 so those after the latest needed are never made.
 
-Signatures are banded; documents that share a band are candidates. In each band
+Signatures are banded; documents that share a band are candidates. Two bits of every
+component tell most pairs apart that are much less alike than asked. In each band
 group a few pivots are compared with all members that are not yet known to be of
 the pivot's class, then eight times as many, until a group is of one class or
 every pair has been compared. So a large group of copies costs a few comparisons
@@ -19,16 +20,17 @@ overlap of the whole bags. Classes are connected components.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import filled, keyed_text, text_batches
+from textquarry.llm.common import ROW, filled, text_batches, with_rows, without_rows
 from textquarry.operators.linking import linked, sharing
 from textquarry.session import materialise
 
@@ -38,6 +40,8 @@ SIMILARITY = 0.8
 #: Two texts of similarity 0.8 share no band with probability (1 - 0.8 ** 5) ** 30 = 7e-6.
 BANDS, ROWS = 30, 5
 COMPONENTS = BANDS * ROWS
+#: Two texts of that similarity are rejected by their short signatures as seldom as this.
+MISS = 1e-6
 #: Bags whose points are made together.
 TOGETHER = 200
 #: Bound of the words whose hashes a task keeps.
@@ -138,31 +142,63 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, n, bands), stored; digest and bands are null without words."""
-    text_batches(docs.sparkSession)
+def short_signatures(found: np.ndarray) -> np.ndarray:
+    """Two bits of each component, 32 components in a number."""
+    two = (_mix(found.view(np.uint64).reshape(found.shape), 7) >> np.uint64(62)).astype(np.uint64)
+    two = np.pad(two, ((0, 0), (0, -found.shape[1] % 32))).reshape(len(found), -1, 32)
+    return (two << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def most_differences(similarity: float) -> int:
+    """How many components may differ in their two bits, so that a pair of that similarity
+    differs in more with probability ``MISS`` at most."""
+    agree = similarity + (1 - similarity) / 4
+    missed, differences = 1.0, -1
+    while missed > MISS and differences < COMPONENTS:
+        differences += 1
+        missed -= math.comb(COMPONENTS, differences) * (1 - agree) ** differences * agree ** (COMPONENTS - differences)
+    return differences
+
+
+def alike(similarity: float) -> Callable[[str, str], Column]:
+    limit = most_differences(similarity)
+
+    def agreeing(left: str, right: str) -> Column:
+        differing = F.zip_with(left, right, lambda a, b: a.bitwiseXOR(b))
+        return F.aggregate(differing, F.lit(0), lambda total, x: total + F.bit_count(
+            x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))) <= limit
+
+    return agreeing
+
+
+def sketches(keyed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, digest, n, bands, bits), stored; the last four are null or 0 without words."""
+    text_batches(keyed.sparkSession)
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
             bags = [shingler(text) for text in batch["text"]]
             full = [b for b in bags if len(b[0])]
-            keys = (key for at in range(0, len(full), TOGETHER)
-                    for key in band_keys(signatures(full[at:at + TOGETHER])))
+            made = (signatures(full[at:at + TOGETHER]) for at in range(0, len(full), TOGETHER))
+            keys = (key for found in made for key in zip(band_keys(found), short_signatures(found)))
+            known = [next(keys) if len(b[0]) else (None, None) for b in bags]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"],
+                "file": batch["file"], "at": batch["at"], "doc_id": batch["doc_id"],
                 "digest": [digest(b) if len(b[0]) else None for b in bags],
                 "n": [int(b[1].sum()) for b in bags],
-                "bands": [next(keys) if len(b[0]) else None for b in bags]})
+                "bands": [k[0] for k in known], "bits": [k[1] for k in known]})
 
     # as text, since pandas would make numbers with nulls among them inexact
-    rows = keyed_text(docs, id_col, text_col).select(
-        F.col("doc_id").cast("string"), filled(F.col("text")).alias("text"))
-    found = rows.mapInPandas(sketched, "doc_id string, digest string, n long, bands array<long>")
-    return materialise(found.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
+    rows = keyed.select(f"{ROW}.*", F.col(f"`{id_col}`").cast("long").cast("string").alias("doc_id"),
+                        filled(F.col(f"`{text_col}`").cast("string")).alias("text"))
+    found = rows.mapInPandas(
+        sketched, "file long, at long, doc_id string, digest string, n long, bands array<long>, bits array<long>")
+    return materialise(found.select(F.struct("file", "at").alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+                                    "digest", "n", "bands", "bits"), "sketches")
 
 
-def bags_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def bags_of(keyed: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
     """(node, bag) of the given nodes: hashes with repeats told apart, stored."""
 
     def bagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,20 +210,17 @@ def bags_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Da
                 "bag": [_mix(np.repeat(h, c) + (np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)).astype(
                     np.uint64), 5).view(np.int64) for h, c in bags]})
 
-    rows = keyed_text(docs, id_col, text_col).select("doc_id", filled(F.col("text")).alias("text"))
-    wanted = rows.join(nodes.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    rows = keyed.select(ROW, filled(F.col(f"`{text_col}`").cast("string")).alias("text"))
+    wanted = rows.join(nodes.select(F.col("first.row").alias(ROW)), ROW, "left_semi").select("text")
     bags = wanted.mapInPandas(bagged, "digest string, bag array<long>")
-    found = bags.join(nodes.select("node", "digest"), "digest").select("node", "bag")
-    return materialise(found.dropDuplicates(["node"]), "bags")
+    return materialise(bags.join(nodes.select("node", "digest"), "digest").select("node", "bag"), "bags")
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, similarity: float, id_col: str, text_col: str
-            ) -> DataFrame | None:
+def _linked(keyed: DataFrame, nodes: DataFrame, similarity: float, text_col: str) -> DataFrame | None:
     """(node, comp) of all nodes that are similar to another; None if there is none."""
-    members = sharing(nodes.where(F.col("first_id").isNotNull()).select(
-        "node", "n", F.explode("bands").alias("band")))
+    members = sharing(nodes.select("node", "n", "bits", F.explode("bands").alias("band")))
     candidates = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    return linked(members, bags_of(docs, candidates, id_col, text_col), similarity)
+    return linked(members, bags_of(keyed, candidates, text_col), similarity, alike(similarity))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id",
@@ -198,40 +231,40 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     five words, a shorter text is one shingle. Bags of shingles are similar when
     their weighted Jaccard similarity reaches ``similarity``. The class id is the
     smallest doc_id of the class. Texts without words (null, empty, signs only)
-    are classes of their own. Repeated rows are members like others; documents
-    with a null id are of a class only if their bag equals that of another. An
-    empty table gives no rows. Further columns are ignored.
+    are classes of their own. Repeated rows and rows without an id are members like
+    others; a class has the null id only if no member has another. An empty table gives
+    no rows. Further columns are ignored.
     Columns: doc_id, class_id, class_size, kept (one row of each class).
     """
-    sketched = sketches(docs, id_col, text_col)
+    return _classes(with_rows(docs), similarity, id_col, text_col).drop("row")
+
+
+def _classes(keyed: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    sketched = sketches(keyed, id_col, text_col)
     full = sketched.where(F.col("digest").isNotNull())
     nodes = materialise(full.groupBy("digest").agg(
-        F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-        .withColumn("node", F.monotonically_increasing_id()), "nodes")
-    comps = _linked(docs, nodes, similarity, id_col, text_col)
-    classed = nodes.select("node", "digest", "first_id")
+        F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first"),
+        F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"),
+        F.count("*").alias("count")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    comps = _linked(keyed, nodes, similarity, text_col)
+    classed = nodes.select("node", "digest", "first", "count")
     if comps is None:
         classed = classed.withColumn("comp", F.col("node"))
     else:
         classed = classed.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classed = materialise(classed, "classes")
-    names = classed.groupBy("comp").agg(F.min("first_id").alias("class_id"))
-    sizes = full.groupBy("digest").count().join(classed, "digest").groupBy("comp").agg(
-        F.sum("count").alias("class_size"))
-    known = classed.join(names, "comp").join(sizes, "comp").select(
-        "digest", "first_id", "class_id", "class_size")
-    of_docs = sketched.select("doc_id", "digest", F.monotonically_increasing_id().alias("row"))
-    out = of_docs.join(known, "digest", "left")
+    whole = classed.groupBy("comp").agg(F.min("first").alias("first"), F.sum("count").alias("class_size"))
+    known = classed.select("comp", "digest").join(whole, "comp").select("digest", "first", "class_size")
+    out = sketched.select("row", "doc_id", "digest").join(known, "digest", "left")
     alone = F.col("digest").isNull()
     return out.select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
-        (alone | F.col("class_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
+        (alone | (F.col("first.row") == F.col("row"))).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, with all its columns; ids are expected to be unique,
-    and documents without an id are kept."""
-    gone = near_duplicates(docs, similarity).where(
-        ~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each class, with all its columns: that of the smallest id, one row
+    where it repeats. Rows without an id are kept. An empty table stays empty."""
+    keyed = with_rows(docs)
+    return without_rows(keyed, _classes(keyed, similarity).where(~F.col("kept") & F.col("doc_id").isNotNull()))
