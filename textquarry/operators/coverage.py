@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions.scores import percentage
+from textquarry.operators.bitmaps import id_bitmaps, set_runs, unset_ids, unset_runs
 from textquarry.operators.ordering import with_next_id, with_rank
 from textquarry.session import materialise
 
@@ -19,36 +20,17 @@ def saved_ids(corpus: DataFrame) -> DataFrame:
 
 def missing_ids(saved: DataFrame, start_id: int, end_id: int) -> DataFrame:
     """Ids of [start_id, end_id] that are not saved, ascending."""
-    expected = saved.sparkSession.range(start_id, end_id + 1).withColumnRenamed("id", "query_id")
-    return expected.join(saved.select("query_id"), "query_id", "left_anti").orderBy("query_id")
+    return unset_ids(id_bitmaps(saved), start_id, end_id)
 
 
 def group_consecutive(ids: DataFrame) -> DataFrame:
     """Runs of consecutive ids as (start_id, end_id)."""
-    ranked = with_rank(ids)
-    return (
-        ranked.groupBy((F.col("query_id") - F.col("rank")).alias("island"))
-        .agg(F.min("query_id").alias("start_id"), F.max("query_id").alias("end_id"))
-        .select("start_id", "end_id")
-    )
+    return set_runs(id_bitmaps(ids))
 
 
 def missing_ranges(saved: DataFrame, start_id: int, end_id: int) -> DataFrame:
-    """Missing stretches of [start_id, end_id], read off neighbouring saved ids.
-
-    The ids just outside the range act as fences, so the missing ids themselves
-    are never listed and an empty set of saved ids gives the whole range.
-    """
-    spark = saved.sparkSession
-    fences = spark.range(start_id - 1, end_id + 2, max(1, end_id - start_id + 2)) \
-        .withColumnRenamed("id", "query_id")
-    inside = saved.select("query_id").where(F.col("query_id").between(start_id, end_id))
-    return (
-        with_next_id(inside.unionByName(fences))
-        .where(F.col("next_id") > F.col("query_id") + 1)
-        .select((F.col("query_id") + 1).alias("start_id"),
-                (F.col("next_id") - 1).alias("end_id"))
-    )
+    """Missing stretches of [start_id, end_id]; the missing ids themselves are never listed."""
+    return unset_runs(id_bitmaps(saved), start_id, end_id)
 
 
 def largest_ranges(ranges: DataFrame, n: int = 5) -> DataFrame:
