@@ -10,7 +10,7 @@ from textquarry.operators.density import density_clusters
 from textquarry.operators.embedding import embed_text, kmeans_labels
 from textquarry.operators.spatial import core_distances, partition_sites
 from textquarry.plans import tables
-from textquarry.plans.clustering import cluster_corpus, save_run
+from textquarry.plans.clustering import cluster_corpus, load_models, save_run, score_corpus
 from textquarry.session import ship_code
 
 ship_code()
@@ -131,6 +131,18 @@ def test_run_and_save(spark, sf_dir, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/individual_clusters").count() == rows
     assert spark.read.parquet(f"{tmp_path}/state").columns == [
         "query_id", "v", "cluster", "embedding"]
+    models = load_models(spark.newSession(), f"{tmp_path}/models")
+    assert models.parameters == run.models.parameters and models.parameters["min_cluster_size"] == 5
+    own = {r["query_id"]: r["cluster"] for r in run.clustered.collect()}
+    scored = score_corpus(models, tables.corpus(models.index.packs.sparkSession, sf_dir)).collect()
+    assert {r["query_id"]: r["cluster"] for r in scored} == own and len(scored) == rows
+    assert all((r["cluster"] == -1) == (r["pseudo"] is None) and r["length"] == 0 for r in scored)
+    unseen = [(1, "never seen words here", "", [], "", ""), (1, None, None, None, None, None)]
+    unseen = spark.createDataFrame(unseen, "query_id long, name string, description string, "
+                                           "tags array<string>, owner string, query_sql string")
+    assert score_corpus(models, unseen).count() == 2
+    with pytest.raises(ValueError, match="encoder"):
+        score_corpus(models, unseen, encoder=lambda texts: texts)
 
 
 def test_silhouette_uses_every_point(spark):

@@ -11,7 +11,7 @@ from textquarry.operators import coverage, duplicates, ledger, profiles
 from textquarry.plans import tables
 
 QUERIES = entry_point.queries()
-LAZY = sorted(set(QUERIES) - {"density_clusters", "cluster_corpus", "kmeans_labels"})
+LAZY = sorted(set(QUERIES) - {"density_clusters", "cluster_corpus", "kmeans_labels", "place_points", "score_corpus"})
 
 
 def plan_of(frame) -> str:

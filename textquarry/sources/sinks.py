@@ -93,5 +93,5 @@ def write_deduplicated(survivors: DataFrame, path: str) -> None:
 
 
 def write_cluster_state(points: DataFrame, path: str) -> None:
-    """Vectors, reduced vectors and labels by id; models are saved with ``save``."""
+    """Vectors, reduced vectors and labels by id."""
     _parquet(points, path)
