@@ -523,6 +523,8 @@ SELECT round(2 * h * c / (h + c), 6) AS v_measure_score FROM hc""",
 SELECT query_id, number AS cluster FROM points JOIN numbers USING (cluster)""",
         # a row is placed on its own spot, in its own cluster
         "score_corpus": "SELECT doc_id AS query_id, true AS same_cluster FROM documents",
+        "duplicates_arriving": f"""WITH {_hashed('sql')}
+SELECT hash, count(*) AS copies, min(query_id) AS first_id FROM hashed GROUP BY hash HAVING count(*) > 1""",
         "near_duplicates": f"""WITH RECURSIVE t AS (
   SELECT doc_id AS query_id, {_normalize_sql("coalesce(text, '')")} AS x FROM documents),
 firsts AS (SELECT x, min(query_id) AS id, string_split(x, ' ') AS w FROM t GROUP BY x),

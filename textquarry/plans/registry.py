@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from textquarry.functions import text
 from textquarry.operators import (
-    coverage, density, duplicates, embedding, ledger, metrics, near, placing, profiles, tags)
+    arrivals, coverage, density, duplicates, embedding, ledger, metrics, near, placing, profiles, tags)
 from textquarry.plans import clustering, tables
 from textquarry.session import scratch_path, ship_code
 from textquarry.sources import corpus as source
@@ -274,6 +274,18 @@ def near_duplicates(spark, sf):
     return near.near_duplicates(rows)
 
 
+def duplicates_arriving(spark, sf):
+    """Repeated hashes after all texts have arrived, in three deliveries."""
+    rows = tables.sql_texts(spark, sf)
+    folder, known = scratch_path(spark, "digests"), None
+    # every row is in one of the three
+    for n in range(3):
+        version = arrivals.DigestTable(f"{folder}/{n}", buckets=8)
+        arrivals.take_in(rows.where(F.pmod("query_id", F.lit(3)) == n), version, known)
+        known = version
+    return known.read(spark).where("copies > 1")
+
+
 def attach_labels(spark, sf):
     labels = tables.raw_documents(spark, sf).select("query_id", "cluster")
     return profiles.attach_labels(tables.corpus(spark, sf), labels).select(
@@ -437,6 +449,7 @@ QUERIES: dict[str, Query] = {
     "deduplicated_structure": _deduplicated("structure"),
     "duplication_by_cluster": lambda spark, sf: duplicates.duplication_by_cluster(
         tables.sql_texts(spark, sf)),
+    "duplicates_arriving": duplicates_arriving,
     "near_duplicates": near_duplicates,
     "attach_labels": attach_labels,
     "cluster_profile": _on_clustered(profiles.cluster_profile),
