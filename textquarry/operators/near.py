@@ -10,7 +10,7 @@ from textquarry.operators.linking import linked, sharing
 from textquarry.session import materialise
 
 SIMILARITY = 0.8
-SHINGLE = 3
+SHINGLE = 5
 
 
 def shingles(text: Column, size: int = SHINGLE) -> Column:

@@ -528,8 +528,8 @@ SELECT hash, count(*) AS copies, min(query_id) AS first_id FROM hashed GROUP BY
         "near_duplicates": f"""WITH RECURSIVE t AS (
   SELECT doc_id AS query_id, {_normalize_sql("coalesce(text, '')")} AS x FROM documents),
 firsts AS (SELECT x, min(query_id) AS id, string_split(x, ' ') AS w FROM t GROUP BY x),
-grams AS (SELECT DISTINCT id, array_to_string(w[i:i + 2], ' ') AS g
-  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM firsts WHERE x <> '')),
+grams AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM firsts WHERE x <> '')),
 sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
 shared AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id
   GROUP BY a.id, b.id),
