@@ -82,3 +82,31 @@ def test_tsv_layout(spark, tmp_path):
     sinks.write_tags_tsv(frame, str(tmp_path / "tags"))
     text = next((tmp_path / "tags").glob("part-*")).read_text()
     assert text == "TAG\tCOUNT\na b\t2\n"
+
+
+def test_files_with_damaged_pages_are_skipped(spark, tmp_path):
+    def rows(first):
+        return pa.Table.from_pylist([{"query_id": i, "name": f"name {i * 7919}", "query_sql": f"select {i * 104729}"}
+                                     for i in range(first, first + 300)])
+
+    pq.write_table(rows(0), tmp_path / "good.parquet", row_group_size=100)
+    pq.write_table(rows(300).slice(0, 0), tmp_path / "no rows.parquet")
+    pq.write_table(rows(600), tmp_path / "pages.parquet", row_group_size=100)
+    raw = bytearray((tmp_path / "pages.parquet").read_bytes())
+    column = pq.ParquetFile(tmp_path / "pages.parquet").metadata.row_group(1).column(2)
+    at = column.dictionary_page_offset or column.data_page_offset
+    raw[at:at + column.total_compressed_size] = b"\xff" * column.total_compressed_size
+    (tmp_path / "pages.parquet").write_bytes(bytes(raw))
+    (tmp_path / "cut.parquet").write_bytes((tmp_path / "good.parquet").read_bytes()[:900])
+    (tmp_path / "empty.parquet").write_bytes(b"")
+
+    report = source.page_report(spark, str(tmp_path)).collect()
+    found = {(r["path"].rsplit("/", 1)[1], r["row_group"]): r["error"] for r in report}
+    assert {key for key, error in found.items() if error} == {
+        ("pages.parquet", 1), ("cut.parquet", None)}
+    assert {key for key, error in found.items() if not error and key[0] != "no rows.parquet"} == {
+        ("good.parquet", 0), ("good.parquet", 1), ("good.parquet", 2), ("pages.parquet", 0), ("pages.parquet", 2)}
+    loaded = source.load_corpus(spark, str(tmp_path), verify=True)
+    assert sorted(r["query_id"] for r in loaded.collect()) == list(range(300))
+    with pytest.raises(Exception):
+        source.load_corpus(spark, str(tmp_path)).collect()

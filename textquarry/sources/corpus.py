@@ -28,34 +28,62 @@ CORPUS_TYPES = {
 MASKED_COLUMNS = ("query_id", "name", "description", "tags")
 MASKED_LIMIT = 10
 
-_FOOTER_SCHEMA = "path string, columns string, error string"
+_FOOTER_SCHEMA = "path string, columns string, error string, row_groups int"
+_PAGE_SCHEMA = "path string, row_group int, error string"
+#: Rows that are decoded at a time where pages are only checked.
+CHECKED_ROWS = 4096
 
 
-def _read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Column names and types of each file, or why its footer cannot be read."""
+def _opened(path: str, **options):
+    """A Parquet file, with the footer read."""
     import pyarrow.fs as pafs
     import pyarrow.parquet as pq
 
+    filesystem, inner = pafs.LocalFileSystem(), path
+    if ":/" in path:
+        # only the root is a URI: names may hold blanks and percent signs
+        scheme, inner = path.split(":/", 1)
+        authority, inner = inner[1:].split("/", 1) if inner.startswith("/") else ("", inner)
+        filesystem, root = pafs.FileSystem.from_uri(f"{scheme}://{authority}/")
+        inner = f"{root.rstrip('/')}/{inner}"
+    return pq.ParquetFile(inner, filesystem=filesystem, **options)
+
+
+def _read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Column names and types of each file, or why its footer cannot be read."""
     for batch in batches:
         found = []
         for path in batch["path"]:
             try:
-                if ":/" in path:
-                    filesystem, inner = pafs.FileSystem.from_uri(path)
-                else:
-                    filesystem, inner = pafs.LocalFileSystem(), path
-                schema = pq.read_schema(inner, filesystem=filesystem)
-                columns = ",".join(sorted(f"{f.name} {f.type}" for f in schema))
-                found.append((path, columns, None))
+                with _opened(path) as file:
+                    columns = ",".join(sorted(f"{f.name} {f.type}" for f in file.schema_arrow))
+                    found.append((path, columns, None, file.metadata.num_row_groups))
             except Exception as problem:  # any unreadable file is reported, not fatal
-                found.append((path, None, type(problem).__name__))
-        yield pd.DataFrame(found, columns=["path", "columns", "error"])
+                found.append((path, None, type(problem).__name__, 0))
+        yield pd.DataFrame(found, columns=["path", "columns", "error", "row_groups"])
+
+
+def _check_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Decode every page of each row group, and say why one cannot be."""
+    for batch in batches:
+        found = []
+        for path, group in zip(batch["path"], batch["row_group"]):
+            error = None
+            try:
+                with _opened(path, page_checksum_verification=True) as file:
+                    for _ in file.iter_batches(batch_size=CHECKED_ROWS, row_groups=[group]):
+                        pass
+            except Exception as problem:  # reported, not fatal
+                error = type(problem).__name__
+            found.append((path, group, error))
+        yield pd.DataFrame(found, columns=["path", "row_group", "error"])
 
 
 def load_report(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
     """One row per Parquet file: path, columns, and the error of unreadable ones.
 
-    Folders below the directory are left out unless ``recursive`` is set.
+    Folders below the directory are left out unless ``recursive`` is set, and so are
+    files of no bytes, which Spark does not list.
     """
     listed = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
@@ -65,6 +93,21 @@ def load_report(spark: SparkSession, directory: str, recursive: bool = False) ->
     return listed.mapInPandas(_read_footers, _FOOTER_SCHEMA)
 
 
+def page_report(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
+    """(path, row_group, error): one row per row group after decoding all its pages.
+
+    Row groups are dealt over the tasks, so a large file is checked by many. A file
+    whose footer cannot be read has one row without a row group; one without row groups
+    has none.
+    """
+    footers = load_report(spark, directory, recursive)
+    groups = footers.where((F.col("error").isNull()) & (F.col("row_groups") > 0)).select(
+        "path", F.explode(F.sequence(F.lit(0), F.col("row_groups") - 1)).alias("row_group"))
+    unread = footers.where(F.col("error").isNotNull()).select(
+        "path", F.lit(None).cast("int").alias("row_group"), "error")
+    return groups.repartition("path", "row_group").mapInPandas(_check_pages, _PAGE_SCHEMA).unionByName(unread)
+
+
 @dataclass(frozen=True)
 class FileGroup:
     """Files that share one set of columns."""
@@ -73,10 +116,17 @@ class FileGroup:
     paths: tuple[str, ...]
 
 
-def file_groups(spark: SparkSession, directory: str) -> list[FileGroup]:
-    """Readable files by schema. Only paths reach the driver, as for any file scan."""
-    rows = (load_report(spark, directory).where("error IS NULL")
-            .orderBy("columns", "path").select("columns", "path").toLocalIterator())
+def file_groups(spark: SparkSession, directory: str, verify: bool = False) -> list[FileGroup]:
+    """Readable files by schema. Only paths reach the driver, as for any file scan.
+
+    ``verify`` leaves out files with a page that cannot be decoded, at the price of
+    reading everything once more.
+    """
+    readable = load_report(spark, directory).where("error IS NULL")
+    if verify:
+        bad = page_report(spark, directory).where("error IS NOT NULL").select("path").distinct()
+        readable = readable.join(bad, "path", "left_anti")
+    rows = (readable.orderBy("columns", "path").select("columns", "path").toLocalIterator())
     by_schema: dict[str, list[str]] = {}
     for row in rows:
         by_schema.setdefault(row["columns"], []).append(row["path"])
@@ -99,8 +149,9 @@ def _empty(spark: SparkSession, wanted: dict[str, str]) -> DataFrame:
 
 
 def read_reconciled(spark: SparkSession, directory: str, columns: tuple[str, ...] | None = None,
-                    required: tuple[str, ...] = ("query_id",)) -> DataFrame:
+                    required: tuple[str, ...] = ("query_id",), verify: bool = False) -> DataFrame:
     """Union of all readable files that have the required columns, raw values.
+    With ``verify``, files with damaged pages count as unreadable too.
 
     A column a file lacks, or holds only nulls in, comes out null, as does a value
     that is not of the column's kind. An ``owner``
@@ -108,7 +159,7 @@ def read_reconciled(spark: SparkSession, directory: str, columns: tuple[str, ...
     """
     wanted = {n: t for n, t in CORPUS_TYPES.items() if columns is None or n in columns}
     result: DataFrame | None = None
-    for group in file_groups(spark, directory):
+    for group in file_groups(spark, directory, verify):
         if not set(required) <= group.columns:
             continue
         frame = _select_cast(spark.read.parquet(*group.paths), wanted)
@@ -139,9 +190,10 @@ def limited(corpus: DataFrame, limit: int | None) -> DataFrame:
     return corpus.orderBy("query_id").limit(limit) if limit else corpus
 
 
-def load_corpus(spark: SparkSession, directory: str, limit: int | None = None) -> DataFrame:
-    """The corpus of a directory in canonical form."""
-    return canonicalise(limited(read_reconciled(spark, directory), limit))
+def load_corpus(spark: SparkSession, directory: str, limit: int | None = None,
+                verify: bool = False) -> DataFrame:
+    """The corpus of a directory in canonical form; ``verify`` skips files with damaged pages."""
+    return canonicalise(limited(read_reconciled(spark, directory, verify=verify), limit))
 
 
 def load_saved_ids(spark: SparkSession, directory: str) -> DataFrame:
