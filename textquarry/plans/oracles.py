@@ -358,6 +358,7 @@ SELECT greatest(processed, (SELECT max(doc_id) FROM documents)) AS total_process
         "incremental_rows": f"""WITH {SQL_TEXTS}, {LEDGER}
 SELECT query_id, query_sql FROM sql_texts WHERE query_id > (SELECT processed FROM ledger)""",
         "incremental_stream": corpus_rows,
+        "incremental_stream_drifting": corpus_rows,
         "write_corpus": corpus_rows,
         "write_clustered": f"WITH {CORPUS} SELECT {CORPUS_COLUMNS}, cluster FROM corpus",
         "write_by_cluster": f"WITH {CORPUS} SELECT {CORPUS_COLUMNS}, cluster FROM corpus",

@@ -20,7 +20,7 @@ from textquarry.session import scratch_path, ship_code
 from textquarry.sources import corpus as source
 from textquarry.sources import cursor as cursors
 from textquarry.sources import sinks
-from textquarry.streaming.incremental import ingest_new_files
+from textquarry.streaming.incremental import ingest_drifting_files, ingest_new_files, ingested
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -129,6 +129,17 @@ def incremental_stream(spark, sf):
     return spark.read.parquet(target)
 
 
+def incremental_stream_drifting(spark, sf):
+    """Two deliveries of files with different columns, the stream run after each."""
+    arrived, target, log = (scratch_path(spark, n) for n in ("arrived", "ingested", "progress"))
+    raw = tables.raw_documents(spark, sf).drop("cluster")
+    first = F.col("description").isNull()
+    for name, part in (("first", raw.where(first).drop("description")), ("second", raw.where(~first))):
+        part.write.parquet(f"{arrived}/{name}")
+        ingest_drifting_files(spark, arrived, target, log).awaitTermination()
+    return ingested(spark, target)
+
+
 # --- sinks, read back --------------------------------------------------------
 
 def write_corpus(spark, sf):
@@ -373,6 +384,7 @@ QUERIES: dict[str, Query] = {
     "resume_cursor": resume_cursor,
     "incremental_rows": incremental_rows,
     "incremental_stream": incremental_stream,
+    "incremental_stream_drifting": incremental_stream_drifting,
     "write_corpus": write_corpus,
     "write_clustered": write_clustered,
     "write_by_cluster": write_by_cluster,

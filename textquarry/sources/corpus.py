@@ -90,6 +90,11 @@ def load_report(spark: SparkSession, directory: str, recursive: bool = False) ->
         .option("recursiveFileLookup", str(recursive).lower()).load(directory)
         .where(F.col("length") >= 0).select("path")
     )
+    return footer_report(listed)
+
+
+def footer_report(listed: DataFrame) -> DataFrame:
+    """(path, columns, error, row_groups) of the files (path)."""
     return listed.mapInPandas(_read_footers, _FOOTER_SCHEMA)
 
 
@@ -126,6 +131,11 @@ def file_groups(spark: SparkSession, directory: str, verify: bool = False) -> li
     if verify:
         bad = page_report(spark, directory).where("error IS NOT NULL").select("path").distinct()
         readable = readable.join(bad, "path", "left_anti")
+    return grouped_files(readable)
+
+
+def grouped_files(readable: DataFrame) -> list[FileGroup]:
+    """Files (path, columns) by schema."""
     rows = (readable.orderBy("columns", "path").select("columns", "path").toLocalIterator())
     by_schema: dict[str, list[str]] = {}
     for row in rows:
@@ -157,9 +167,15 @@ def read_reconciled(spark: SparkSession, directory: str, columns: tuple[str, ...
     that is not of the column's kind. An ``owner``
     or ``query_sql`` the file lacks comes out empty, as the format defines.
     """
+    return read_groups(spark, file_groups(spark, directory, verify), columns, required)
+
+
+def read_groups(spark: SparkSession, groups: list[FileGroup], columns: tuple[str, ...] | None = None,
+                required: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """As :func:`read_reconciled`, of files whose schemas are known."""
     wanted = {n: t for n, t in CORPUS_TYPES.items() if columns is None or n in columns}
     result: DataFrame | None = None
-    for group in file_groups(spark, directory, verify):
+    for group in groups:
         if not set(required) <= group.columns:
             continue
         frame = _select_cast(spark.read.parquet(*group.paths), wanted)
