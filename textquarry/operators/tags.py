@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.scores import percentage
 from textquarry.functions.text import sorted_distinct, strip
+from textquarry.session import materialise
 
 
 def tag_uses(corpus: DataFrame) -> DataFrame:
@@ -51,26 +52,68 @@ def tag_statistics(corpus: DataFrame) -> DataFrame:
     )
 
 
-def tag_pair_counts(corpus: DataFrame) -> DataFrame:
-    """How many rows hold both tags, for every pair tag1 < tag2 that occurs.
+#: Frequent tags among which pairs are counted before all are.
+HEADS = (64, 512)
 
-    Pairs come from a row's own tag list, so there is no join; they are counted
-    before the one shuffle.
-    """
-    sets = (corpus.select("query_id", sorted_distinct(F.col("tags")).alias("tags"))
-            .where(F.size("tags") >= 2))
-    first = sets.select("query_id", "tags", F.posexplode("tags").alias("i", "tag1"))
+
+def _tag_sets(corpus: DataFrame) -> DataFrame:
+    return corpus.select("query_id", sorted_distinct(F.col("tags")).alias("tags"))
+
+
+def _pair_rows(sets: DataFrame) -> DataFrame:
+    """One row per pair tag1 < tag2 of a row's own sorted tags, so there is no join."""
+    first = sets.where(F.size("tags") >= 2).select("query_id", "tags", F.posexplode("tags").alias("i", "tag1"))
     rest = F.slice("tags", F.col("i") + 2, F.size("tags"))
-    pairs = first.select("query_id", "tag1", F.explode(rest).alias("tag2"))
+    return first.select("query_id", "tag1", F.explode(rest).alias("tag2"))
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("tag1", "tag2").agg(
         F.count("*").alias("count"), F.min("query_id").alias("first_id"))
 
 
+def tag_pair_counts(corpus: DataFrame) -> DataFrame:
+    """How many rows hold both tags, for every pair tag1 < tag2 that occurs.
+
+    Pairs are counted before the one shuffle.
+    """
+    return _counted(_pair_rows(_tag_sets(corpus)))
+
+
+def _most_frequent(pairs: DataFrame, n: int) -> DataFrame:
+    return pairs.orderBy(F.desc("count"), "first_id", "tag1", "tag2").limit(n)
+
+
 def tag_cooccurrence(corpus: DataFrame, top_n: int = 10) -> DataFrame:
     """Most frequent tag pairs; ties go to the pair seen first."""
-    return (tag_pair_counts(corpus)
-            .orderBy(F.desc("count"), "first_id", "tag1", "tag2").limit(top_n)
-            .select("tag1", "tag2", "count"))
+    return _most_frequent(tag_pair_counts(corpus), top_n).select("tag1", "tag2", "count")
+
+
+def head_pairs(corpus: DataFrame, head: list[str]) -> DataFrame:
+    """The pairs among a few tags, one row per row of the corpus that holds both."""
+    kept = F.array_intersect("tags", F.array(*[F.lit(tag) for tag in head]).cast("array<string>"))
+    return _pair_rows(_tag_sets(corpus).select("query_id", kept.alias("tags")))
+
+
+def frequent_pairs(corpus: DataFrame, top_n: int = 10, heads: tuple[int, ...] = HEADS) -> DataFrame:
+    """As :func:`tag_cooccurrence`, mostly without making the pairs of rare tags.
+
+    No pair is more frequent than the rarer of its tags. So pairs are first counted among
+    the most frequent tags only; once the last of the top pairs is more frequent than any
+    tag left out, no other pair can be among them. Where that never holds, all pairs are
+    counted.
+    """
+    uses = _tag_sets(corpus).select(F.explode("tags").alias("tag")).groupBy("tag").count()
+    # a bounded number of tags reaches the driver
+    ranked = uses.orderBy(F.desc("count"), "tag").limit(max(heads, default=0) + 1).collect()
+    for size in heads:
+        left_out = ranked[size]["count"] if len(ranked) > size else 0
+        top = materialise(_most_frequent(
+            _counted(head_pairs(corpus, [r["tag"] for r in ranked[:size]])), top_n), "top-pairs")
+        found = top.agg(F.count("*").alias("n"), F.min("count").alias("least")).first()
+        if not left_out or (found["n"] == top_n and (top_n == 0 or found["least"] > left_out)):
+            return _most_frequent(top, top_n).select("tag1", "tag2", "count")
+    return tag_cooccurrence(corpus, top_n)
 
 
 def top_tags_share(corpus: DataFrame, n: int = 15) -> DataFrame:

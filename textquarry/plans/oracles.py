@@ -367,6 +367,7 @@ SELECT query_id, query_sql FROM sql_texts WHERE query_id > (SELECT processed FRO
         "write_tags": tag_rows,
         "write_tags_tsv": tag_rows,
         "write_cooccurrence_tsv": f"WITH {CORPUS}, {_pairs('corpus')}",
+        "frequent_pairs": f"WITH {CORPUS}, {_pairs('corpus')}",
         "write_duplicates": f"WITH {_hashed('sql')} SELECT query_id, hash FROM ({DUPLICATES})",
         "write_deduplicated": f"""WITH {CORPUS}
 SELECT {CORPUS_COLUMNS} FROM (

@@ -435,6 +435,7 @@ QUERIES: dict[str, Query] = {
     "fetch_ledger": lambda spark, sf: ledger.fetch_ledger(tables.attempts(spark, sf)),
     "tag_counts": _on_baskets(tags.tag_counts),
     "tag_statistics": _on_baskets(tags.tag_statistics),
+    "frequent_pairs": lambda spark, sf: tags.frequent_pairs(tables.corpus(spark, sf), 20),
     "tag_cooccurrence": lambda spark, sf: tags.tag_cooccurrence(
         tables.baskets(spark, sf).withColumn("tags", text.normalize_tags(F.col("tags"))), 20),
     "top_tags_share": _on_baskets(tags.top_tags_share),
