@@ -23,6 +23,33 @@ def test_awkward_languages(spark):
     assert {r["lang_pred"] for r in language.languages(nothing).collect()} == {"und"}
 
 
+def test_language_sample_has_every_language_and_no_foreign_row(spark):
+    texts = [(i, f"{lang} word{i} text", lang) for i in range(40) for lang in ("a", "b", "c", "d", "e")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    drawn = [tuple(r) for r in language.sample(docs, 4, "doc_id", "text", "lang").collect()]
+    assert {lang for lang, _ in drawn} == set("abcde") and len(drawn) < 40
+    # ids repeat here, each row keeps its own language
+    assert all(text.startswith(lang) for lang, text in drawn)
+    whole = language.sample(docs, 10_000, "doc_id", "text", "lang").collect()
+    assert sorted(map(tuple, whole)) == sorted((lang, text) for _, text, lang in texts)
+    assert "und" not in {r["lang_pred"] for r in language.languages(docs, most_texts=4).collect()}
+
+
+def test_repeated_ids_do_not_grow_the_toxicity_sample(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    found = toxicity.sample(docs, labels, 10, "doc_id", "text", "doc_id", "toxic").collect()
+    assert sorted((r["doc_id"], r["toxic"]) for r in found) == [(0, 1), (1, 0), (2, 0)]
+
+
+def test_lexicon_keeps_every_term(spark):
+    names = ["".join(chr(97 + w // 26 ** d % 26) for d in range(4)) for w in range(21_000)]
+    rows = spark.createDataFrame([(i, " ".join(names) + " " + "z" * (i + 5), 1) for i in range(12)],
+                                 "doc_id long, text string, toxic int")
+    words, _ = toxicity.learn_lexicon(rows)
+    assert words.keys() >= set(names)
+
+
 def test_codewords_lie_apart():
     for count in (2, 4, 6, 9, 40):
         codes = language.codewords(count)

@@ -6,8 +6,8 @@ side a text lies; bits that erred less on the sample weigh more. The language
 whose codeword costs least logistic loss is chosen; a text is ambiguous when a
 second one costs nearly as little.
 
-The fit uses a sample of at most ``most_texts`` labelled texts, the same number
-of each language where there are enough.
+The fit uses a sample of about ``most_texts`` labelled texts, the same number of
+each language where there are enough, and at least one of each.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import filled, keyed_text, text_batches
+from textquarry.llm.common import ROW, filled, keyed_text, text_batches, with_rows
 from textquarry.session import materialise
 
 FEATURES = 4096
@@ -29,6 +29,8 @@ MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9],
 #: Characters looked at in one step of a long text; steps overlap, so no n-gram is lost.
 STEP = 1 << 20
 UNKNOWN = "und"
+#: Rows are drawn by a number below this.
+SPAN = 1 << 40
 
 
 class Model(NamedTuple):
@@ -90,17 +92,29 @@ def shape(counts: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, most_texts: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, text) of the sample, taken by a hash of the id within each language."""
-    known = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-                        F.col(f"`{lang_col}`").cast("string").alias("lang")).where(
-        F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    languages = known.select("lang").distinct().count()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = materialise(known.withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= most_texts // max(1, languages)).select("doc_id", "lang").distinct(), "sample")
-    texts = keyed_text(docs, id_col, text_col)
-    # at most most_texts rows, so it may be broadcast
-    return texts.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
+    """(lang, text) of the sample: about ``most_texts`` rows, the same share of them for each
+    language, but at least one text of each.
+
+    Rows, not ids, are drawn, by a hash of id and place in the file; so a repeated id
+    brings no other row along.
+    """
+    keyed = with_rows(docs)
+    draw = F.pmod(F.xxhash64("doc_id", f"{ROW}.at"), F.lit(SPAN))
+    known = keyed.select(ROW, F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+                         F.col(f"`{lang_col}`").cast("string").alias("lang"),
+                         F.col(f"`{text_col}`").isNotNull().alias("full")).where(
+        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("full")).select(
+        ROW, "lang", draw.alias("draw"))
+    # a row for each language that is learned; combined in tasks before it is shuffled
+    sizes = materialise(known.groupBy("lang").agg(
+        F.count("*").alias("size"), F.min(F.struct("draw", ROW)).alias("first")), "languages")
+    quota = max(1, most_texts // max(1, sizes.count()))
+    chosen = materialise(known.join(sizes, "lang").where(
+        (F.col("draw") < F.lit(float(SPAN)) * quota / F.col("size")) | (F.col(ROW) == F.col(f"first.{ROW}"))).select(
+        ROW, "lang"), "sample")
+    texts = keyed.select(ROW, F.col(f"`{text_col}`").cast("string").alias("text"))
+    # about most_texts rows and one for each language, so it may be broadcast
+    return texts.join(F.broadcast(chosen), ROW).select("lang", "text")
 
 
 def fit(docs: DataFrame, most_texts: int = 4000, id_col: str = "doc_id", text_col: str = "text",

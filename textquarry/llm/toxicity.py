@@ -36,8 +36,6 @@ Z = 1.96
 PARTS = 3
 #: Texts that must hold a term before it is judged.
 LEAST_TEXTS = 4
-#: Terms kept of each kind and tier, the most frequent first.
-MOST_TERMS = 20_000
 #: Bound of the words whose voters a task keeps.
 MOST_WORDS = 300_000
 KINDS = ("word", "beginning")
@@ -74,8 +72,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text
         limits = F.when(F.col("toxic") == label, int(min(1.0, per_class / size) * span)).otherwise(limits)
     chosen = agreed.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < limits)
     texts = keyed_text(docs, id_col, text_col).select("doc_id", filled(F.col("text")).alias("text"))
-    # bounded by per_class, so it may be broadcast
-    return texts.join(F.broadcast(chosen), "doc_id")
+    # bounded by per_class, so it may be broadcast; a repeated id gives one text
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def _terms_of(text: str) -> tuple[set[str], set[str]]:
@@ -84,7 +83,9 @@ def _terms_of(text: str) -> tuple[set[str], set[str]]:
 
 
 def learn_lexicon(labelled: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
-    """Terms by kind with the voter they belong to; driver memory is bounded by MOST_TERMS."""
+    """Terms by kind with the voter they belong to: all of the sample that mark toxic texts.
+
+    The sample bounds them, as each must be in ``LEAST_TEXTS`` of its texts."""
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -115,7 +116,6 @@ def learn_lexicon(labelled: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
     known = counted.where(F.col("texts") >= LEAST_TEXTS).withColumn("tier", tier).where(
         F.col("tier") < len(TIERS)).withColumn(
         "part", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int"))
-    known = known.orderBy(F.desc("toxic"), "kind", "term").limit(MOST_TERMS)
     lexicon: tuple[dict[str, int], dict[str, int]] = ({}, {})
     for row in known.select("kind", "term", "tier", "part").collect():
         lexicon[row["kind"]][row["term"]] = (row["kind"] * len(TIERS) + row["tier"]) * PARTS + row["part"]
