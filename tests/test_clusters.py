@@ -4,6 +4,7 @@ import brute
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from textquarry.operators import metrics, profiles
 from textquarry.operators.density import density_clusters
@@ -230,3 +231,28 @@ def test_problems_are_bounded(spark):
     assert problems.groupBy("problem").count().agg({"count": "max"}).first()[0] <= 20
     assert flat.groupBy("problem").agg({"w": "min"}).count() >= 1
     assert problems.count() + flat.count() == len(edges)
+
+
+def test_stored_model_is_opened_once_in_each_worker(spark, tmp_path):
+    import os
+    import uuid
+
+    from textquarry.operators.embedding import encode_by_model, load_projection, save_projection
+
+    model, marks = str(tmp_path / "model"), tmp_path / "marks"
+    marks.mkdir()
+    save_projection(spark, model, dimensions=8, buckets=64)
+
+    def load(path):
+        (marks / f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+        return load_projection(path)
+
+    texts = spark.range(200).select(F.col("id").alias("query_id"), F.when(
+        F.col("id") % 5 > 0, F.concat(F.lit("word"), (F.col("id") % 7).cast("string"), F.lit(" and more"))).alias("text"))
+    rows = encode_by_model(texts.repartition(8), model, load, batch_size=4).collect()
+    opened = [p.name.split("-")[0] for p in marks.iterdir()]
+    assert len(rows) == 200 and 1 <= len(opened) == len(set(opened))
+    own = load_projection(model)
+    told = {r["query_id"]: r["text"] or "" for r in texts.collect()}
+    for row in rows:
+        assert np.allclose(row["v"], own(pd.Series([told[row["query_id"]]]))[0])

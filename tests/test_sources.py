@@ -110,3 +110,20 @@ def test_files_with_damaged_pages_are_skipped(spark, tmp_path):
     assert sorted(r["query_id"] for r in loaded.collect()) == list(range(300))
     with pytest.raises(Exception):
         source.load_corpus(spark, str(tmp_path)).collect()
+
+
+def test_footer_mark_equals_scan(spark, tmp_path):
+    folder = str(tmp_path / "corpus")
+    (tmp_path / "corpus").mkdir()
+    pq.write_table(pa.table({"query_id": pa.array([3, 71, None], pa.int64())}), f"{folder}/a.parquet")
+    pq.write_table(pa.table({"query_id": pa.array([5, 12], pa.int32()), "name": ["x", "y"]}), f"{folder}/b.parquet")
+    pq.write_table(pa.table({"query_id": ["80", "none"]}), f"{folder}/c.parquet")
+    pq.write_table(pa.table({"name": ["no id"]}), f"{folder}/d.parquet")
+    pq.write_table(pa.table({"query_id": pa.array([], pa.int64())}), f"{folder}/e.parquet")
+    assert source.footer_high_water_mark(spark, folder) == 80
+    assert source.footer_high_water_mark(spark, folder, stored=100) == 100
+    # no statistics: the files are scanned
+    pq.write_table(pa.table({"query_id": [93, 2], "tags": [["t"], []]}), f"{folder}/f.parquet", write_statistics=False)
+    assert source.footer_high_water_mark(spark, folder) == 93
+    plan = source.largest_id(spark, (f"{folder}/a.parquet",))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [MAX(query_id)]" in plan

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from multiprocessing.pool import ThreadPool
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer, PCA, PCAModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from textquarry.functions.text import embedding_text, tokens
 from textquarry.session import materialise
@@ -25,6 +29,7 @@ RESTARTS = 10
 SEED = 42
 PARALLEL_RUNS = 4
 NOISE = -1
+WORD = re.compile(r"\w+")
 
 
 def encode(texts: DataFrame, encoder: Encoder) -> DataFrame:
@@ -38,6 +43,46 @@ def encode(texts: DataFrame, encoder: Encoder) -> DataFrame:
     return texts.select("query_id", encoded("text").alias("v"))
 
 
+def encode_by_model(texts: DataFrame, path: str, load: Callable[[str], Encoder], batch_size: int = 256) -> DataFrame:
+    """(query_id, v) from a stored model, which ``load`` opens once in each Python worker.
+
+    ``path`` is a folder that Spark sends to the executors; ``load`` gets its local name.
+    Only that name travels with the tasks, not the model. A null text counts as empty.
+    """
+    texts.sparkSession.sparkContext.addFile(path, recursive=True)
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+
+    def opened():
+        encoder = load(SparkFiles.get(name))
+        return lambda batch: np.asarray(encoder(pd.Series(batch)), dtype=float)
+
+    predict = predict_batch_udf(opened, return_type=ArrayType(DoubleType()), batch_size=batch_size)
+    return texts.select("query_id", predict(F.coalesce("text", F.lit(""))).alias("v"))
+
+
+def save_projection(spark: SparkSession, path: str, dimensions: int = 64, buckets: int = 4096,
+                    seed: int = SEED) -> None:
+    """A small model as a folder: a random direction for each bucket of hashed words."""
+    weights = np.random.default_rng(seed).standard_normal((buckets, dimensions)) / np.sqrt(dimensions)
+    rows = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(weights)], "bucket int, direction array<double>")
+    rows.coalesce(1).write.parquet(path)
+
+
+def load_projection(path: str) -> Encoder:
+    """The encoder stored by :func:`save_projection`: unit sums of the words' directions."""
+    stored = pd.read_parquet(path).sort_values("bucket")
+    weights = np.stack(stored["direction"].to_numpy())
+
+    def encoder(batch: pd.Series) -> np.ndarray:
+        out = np.zeros((len(batch), weights.shape[1]))
+        for i, text in enumerate(batch):
+            words = [crc32(w.encode()) % len(weights) for w in WORD.findall(text.lower())]
+            out[i] = weights[words].sum(axis=0)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+    return encoder
+
+
 def term_counts(texts: DataFrame, dimensions: int = HASHED_DIMENSIONS) -> DataFrame:
     """(query_id, tf) of (query_id, text): hashed term frequencies, stored.
 

@@ -15,7 +15,8 @@ MAX_RETRIES = 3
 BACKOFF_FACTOR = 2.0
 
 
-def _outcome(max_retries: int, retry_statuses: tuple[int, ...]) -> Column:
+def outcome(max_retries: int = MAX_RETRIES, retry_statuses: tuple[int, ...] = RETRY_STATUSES) -> Column:
+    """What the attempt (``attempt``, ``status``) comes to: success, not_found, retry or failed."""
     status = F.col("status")
     retryable = status.isNull() | status.isin(*retry_statuses)
     return (F.when(status == OK_STATUS, "success")
@@ -33,7 +34,7 @@ def attempt_outcomes(attempts: DataFrame, max_retries: int = MAX_RETRIES,
     a final one, or beyond the retry limit, would not have been made.
     """
     judged = (attempts.where(F.col("attempt") <= max_retries)
-              .withColumn("outcome", _outcome(max_retries, retry_statuses)))
+              .withColumn("outcome", outcome(max_retries, retry_statuses)))
     final = judged.where(F.col("outcome") != "retry").groupBy("query_id").agg(
         F.min("attempt").alias("final_attempt"))
     delay = F.when(F.col("outcome") == "retry", backoff_delay(F.col("attempt"), backoff_factor))
@@ -48,20 +49,20 @@ def id_outcomes(attempts: DataFrame, max_retries: int = MAX_RETRIES,
                 retry_statuses: tuple[int, ...] = RETRY_STATUSES) -> DataFrame:
     """Final outcome and attempts made per id; ids with no final attempt are absent."""
     judged = (attempts.where(F.col("attempt") <= max_retries)
-              .withColumn("outcome", _outcome(max_retries, retry_statuses)))
+              .withColumn("outcome", outcome(max_retries, retry_statuses)))
     return (judged.where(F.col("outcome") != "retry").groupBy("query_id")
             .agg(F.min(F.struct("attempt", "outcome")).alias("final"))
             .select("query_id", "final.outcome",
                     (F.col("final.attempt") + 1).cast("long").alias("attempts")))
 
 
-def fetch_ledger(attempts: DataFrame, base_processed: int = 0, **retry) -> DataFrame:
-    """Run totals as one row. ``base_processed`` carries an earlier run's count."""
+def ledger_totals(outcomes: DataFrame, base_processed: int = 0) -> DataFrame:
+    """Run totals as one row, of final outcomes (query_id, outcome, attempts)."""
     done = F.col("outcome") == "success"
     retries = F.greatest(F.col("attempts") - 1, F.lit(0))
     zero = F.lit(0)
     return (
-        id_outcomes(attempts, **retry)
+        outcomes
         .agg(F.count("*").alias("n"), F.count_if(done).alias("success"),
              F.count_if(~done).alias("failed"),
              F.coalesce(F.sum(F.when(done, retries)), zero).alias("total_retried"),
@@ -75,6 +76,11 @@ def fetch_ledger(attempts: DataFrame, base_processed: int = 0, **retry) -> DataF
     )
 
 
+def fetch_ledger(attempts: DataFrame, base_processed: int = 0, **retry) -> DataFrame:
+    """Run totals as one row. ``base_processed`` carries an earlier run's count."""
+    return ledger_totals(id_outcomes(attempts, **retry), base_processed)
+
+
 def high_water_mark(corpus: DataFrame, stored: int = 0) -> DataFrame:
     """Largest id seen so far, in the files or in the stored cursor."""
     return corpus.agg(F.greatest(F.coalesce(F.max("query_id"), F.lit(0)), F.lit(stored))

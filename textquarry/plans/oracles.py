@@ -553,6 +553,12 @@ SELECT CASE WHEN silhouette_score > 0.5 THEN 'EXCELLENT' WHEN silhouette_score >
             ELSE 'LOW HOMOGENEITY' END AS homogeneity
 FROM metrics""",
     }
+    sql["high_water_mark_footers"] = sql["high_water_mark"]
+    sql["fetch_ledger_stream"] = sql["fetch_ledger"]
+    sql["neighbour_graph"] = f"""WITH {POINTS}, sites AS (SELECT v, min(query_id) AS id FROM points GROUP BY v)
+SELECT a.id AS query_id, b.id AS neighbour_id, CAST(row_number() OVER (
+  PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS INTEGER) AS place
+FROM sites a JOIN sites b ON a.id <> b.id QUALIFY place <= 15"""
     # a point that is moved a little stays in its cluster
     sql["place_points"] = sql["density_clusters"]
     for mode in ("sql", "semantic"):

@@ -14,12 +14,13 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from textquarry.functions import text
 from textquarry.operators import (
-    arrivals, coverage, density, duplicates, embedding, ledger, metrics, near, placing, profiles, tags)
+    arrivals, coverage, density, duplicates, embedding, layout, ledger, metrics, near, placing, profiles, tags)
 from textquarry.plans import clustering, tables
 from textquarry.session import scratch_path, ship_code
 from textquarry.sources import corpus as source
 from textquarry.sources import cursor as cursors
 from textquarry.sources import sinks
+from textquarry.streaming.attempts import keep_ledger, kept_ledger
 from textquarry.streaming.incremental import ingest_drifting_files, ingest_new_files, ingested
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +83,22 @@ def high_water_mark(spark, sf):
     return ledger.high_water_mark(tables.corpus(spark, sf))
 
 
+def high_water_mark_footers(spark, sf):
+    mark = source.footer_high_water_mark(spark, tables.write_drifting(spark, sf))
+    return spark.range(1).select(F.lit(mark).cast("long").alias("total_processed"))
+
+
+def fetch_ledger_stream(spark, sf):
+    """The attempts in two deliveries, later ones first, the stream run after each."""
+    arrived, target, log = (scratch_path(spark, n) for n in ("arrived", "settled", "progress"))
+    attempts = tables.timed_attempts(spark, sf)
+    for late in (True, False):
+        attempts.where((F.col("attempt") > 1) == late).write.parquet(f"{arrived}/{late}")
+        # the first attempts come up to the whole length of the log after the last
+        keep_ledger(spark, arrived, target, log, delay="100 years").awaitTermination()
+    return kept_ledger(spark, target)
+
+
 def _ledger_cursor(spark, sf):
     run = ledger.fetch_ledger(tables.attempts(spark, sf))
     return run.select(F.col("processed").alias("total_processed"),
@@ -313,6 +330,23 @@ def embed_text(spark, sf):
         "v", F.lit(0.0), lambda acc, x: acc + x * x)).alias("length"))
 
 
+def encode_by_model(spark, sf):
+    path = scratch_path(spark, "projection")
+    embedding.save_projection(spark, path)
+    texts = embedding.mode_texts(tables.corpus(spark, sf), "semantic")
+    return embedding.encode_by_model(texts, path, embedding.load_projection)
+
+
+def neighbour_graph(spark, sf):
+    sites = density.distinct_sites(tables.points(spark, sf))
+    return layout.neighbour_graph(sites).select(
+        F.col("site").alias("query_id"), F.col("neighbour").alias("neighbour_id"), "place")
+
+
+def neighbour_layout(spark, sf):
+    return layout.lay_out(tables.points(spark, sf).select("query_id", "v"))
+
+
 def reduce_dimensions(spark, sf):
     points = tables.points(spark, sf).select("query_id", "v")
     return embedding.reduce_dimensions(points)
@@ -379,6 +413,7 @@ QUERIES: dict[str, Query] = {
     "load_report": load_report,
     "saved_ids": saved_ids,
     "high_water_mark": high_water_mark,
+    "high_water_mark_footers": high_water_mark_footers,
     "load_cursor": load_cursor,
     "write_cursor": write_cursor,
     "resume_cursor": resume_cursor,
@@ -432,6 +467,7 @@ QUERIES: dict[str, Query] = {
     "retry_totals": _with_range(
         lambda ids, s, e: coverage.retry_totals(coverage.missing_ranges(ids, s, e))),
     "attempt_outcomes": lambda spark, sf: ledger.attempt_outcomes(tables.attempts(spark, sf)),
+    "fetch_ledger_stream": fetch_ledger_stream,
     "fetch_ledger": lambda spark, sf: ledger.fetch_ledger(tables.attempts(spark, sf)),
     "tag_counts": _on_baskets(tags.tag_counts),
     "tag_statistics": _on_baskets(tags.tag_statistics),
@@ -484,7 +520,10 @@ QUERIES: dict[str, Query] = {
     "cluster_metrics": _on_points(metrics.cluster_metrics),
     "assessment": _on_points(lambda p: metrics.assessment(metrics.cluster_metrics(p))),
     "embed_text": embed_text,
+    "encode_by_model": encode_by_model,
     "reduce_dimensions": reduce_dimensions,
+    "neighbour_graph": neighbour_graph,
+    "neighbour_layout": neighbour_layout,
     "kmeans_labels": kmeans_labels,
     "density_clusters": density_clusters,
     "cluster_corpus": cluster_corpus,

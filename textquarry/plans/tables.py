@@ -114,6 +114,14 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 4).cast("int").alias("attempt"), status.alias("status"))
 
 
+def timed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fetch log with the time of each attempt."""
+    times = table(spark, sf_dir, "events").select(
+        F.floor(F.col("event_id") / 4).alias("query_id"),
+        (F.col("event_id") % 4).cast("int").alias("attempt"), F.col("ts").cast("timestamp").alias("at"))
+    return attempts(spark, sf_dir).join(times, ["query_id", "attempt"])
+
+
 def write_drifting(spark: SparkSession, sf_dir: str) -> str:
     """The raw corpus on disk in two schemas: no ``description`` where all are null."""
     path = scratch_path(spark, "drifting")

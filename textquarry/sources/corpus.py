@@ -11,8 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from textquarry.functions.text import mask_literals, normalize_tags, normalize_text
 
@@ -218,6 +221,41 @@ def load_saved_ids(spark: SparkSession, directory: str) -> DataFrame:
         F.col("query_id").isNotNull()).distinct()
 
 
+def _pushing(spark: SparkSession, push: bool) -> SparkSession:
+    """A session beside the given one that answers minima and maxima from Parquet footers."""
+    beside = spark.newSession()
+    if push:
+        beside.conf.set("spark.sql.sources.useV1SourceList", "")
+        beside.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return beside
+
+
+def largest_id(spark: SparkSession, paths: tuple[str, ...], push: bool = True) -> DataFrame:
+    """(id): the largest id of files of one schema, from their footers where ``push`` is set."""
+    frame = _pushing(spark, push).read.parquet(*paths)
+    whole = isinstance(frame.schema["query_id"].dataType, IntegralType)
+    return frame.agg((F.max("query_id") if whole else F.max(F.col("query_id").try_cast("bigint"))).alias("id"))
+
+
+def footer_high_water_mark(spark: SparkSession, directory: str, stored: int = 0) -> int:
+    """Largest id of a folder's files, or the stored one, without reading any row.
+
+    Files whose footers hold no statistics are scanned, together with those of their schema.
+    """
+    mark = stored
+    for group in file_groups(spark, directory):
+        if "query_id" not in group.columns:
+            continue
+        try:
+            found = largest_id(spark, group.paths).first()["id"]
+        except (PySparkException, Py4JJavaError) as error:
+            if "No min/max found" not in str(error):
+                raise
+            found = largest_id(spark, group.paths, push=False).first()["id"]
+        mark = max(mark, found if found is not None else mark)
+    return mark
+
+
 def masked_rows(raw: DataFrame, limit: int = MASKED_LIMIT) -> DataFrame:
     """Id, literal-masked name and description, tags, for the first ``limit`` rows."""
     rows = raw.orderBy("query_id").limit(limit)
