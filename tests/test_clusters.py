@@ -256,3 +256,19 @@ def test_stored_model_is_opened_once_in_each_worker(spark, tmp_path):
     told = {r["query_id"]: r["text"] or "" for r in texts.collect()}
     for row in rows:
         assert np.allclose(row["v"], own(pd.Series([told[row["query_id"]]]))[0])
+
+
+def test_stored_model_reaches_the_workers_of_a_cluster(spark, tmp_path, monkeypatch):
+    from textquarry.operators.embedding import encode_by_model, load_projection, save_projection
+
+    def refuse(self, path, recursive=False):
+        raise ValueError("outside local mode Spark sends no local folder as a file")
+
+    monkeypatch.setattr(type(spark.sparkContext), "addFile", refuse)
+    texts = spark.createDataFrame([(1, "some words"), (2, None)], "query_id long, text string")
+    for at in ("plain", "named"):
+        model = f"{tmp_path}/{at}"
+        save_projection(spark, model, dimensions=4, buckets=16)
+        rows = encode_by_model(texts, model if at == "plain" else f"file://{model}/", load_projection).collect()
+        own = load_projection(model)
+        assert all(np.allclose(r["v"], own(pd.Series([t or ""]))[0]) for r, t in zip(rows, ("some words", None)))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
 from multiprocessing.pool import ThreadPool
 from zlib import crc32
@@ -13,7 +15,7 @@ from pyspark import SparkFiles
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer, PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -43,14 +45,31 @@ def encode(texts: DataFrame, encoder: Encoder) -> DataFrame:
     return texts.select("query_id", encoded("text").alias("v"))
 
 
+def _send_folder(spark: SparkSession, path: str) -> str:
+    """Have a folder fetched by every executor; the name under which SparkFiles finds it.
+
+    Executors fetch a folder of a remote store themselves. One of a local or shared disk Spark
+    sends to other processes only as an archive.
+    """
+    path = path.rstrip("/")
+    name = path.rsplit("/", 1)[-1]
+    scheme, local = re.fullmatch(r"(?:(\w[\w+.-]*):(?://[^/]*)?)?(.*)", path).groups()
+    if scheme in (None, "file"):
+        packed = shutil.make_archive(f"{tempfile.mkdtemp(prefix='textquarry-')}/{name}", "zip", local)
+        spark.sparkContext.addArchive(f"{packed}#{name}")
+    else:
+        spark.sparkContext.addFile(path, recursive=True)
+    return name
+
+
 def encode_by_model(texts: DataFrame, path: str, load: Callable[[str], Encoder], batch_size: int = 256) -> DataFrame:
     """(query_id, v) from a stored model, which ``load`` opens once in each Python worker.
 
-    ``path`` is a folder that Spark sends to the executors; ``load`` gets its local name.
+    ``path`` is a folder, in a remote store or on a disk the driver sees, that Spark sends to
+    the executors; ``load`` gets its local name.
     Only that name travels with the tasks, not the model. A null text counts as empty.
     """
-    texts.sparkSession.sparkContext.addFile(path, recursive=True)
-    name = path.rstrip("/").rsplit("/", 1)[-1]
+    name = _send_folder(texts.sparkSession, path)
 
     def opened():
         encoder = load(SparkFiles.get(name))
