@@ -272,3 +272,36 @@ def test_stored_model_reaches_the_workers_of_a_cluster(spark, tmp_path, monkeypa
         rows = encode_by_model(texts, model if at == "plain" else f"file://{model}/", load_projection).collect()
         own = load_projection(model)
         assert all(np.allclose(r["v"], own(pd.Series([t or ""]))[0]) for r, t in zip(rows, ("some words", None)))
+
+
+def test_visits_tell_only_what_is_within_reach(spark):
+    from textquarry.operators.spatial import _visit, pack_blocks
+
+    matrix = blobs(60, 3, 16, 0.3, 4)
+    sites = points_frame(spark, matrix).selectExpr("query_id AS site", "query_id + 1 AS weight", "v", "1 AS block")
+    gaps = brute.distances(matrix)
+    reaches = [float(np.sort(gaps[i])[i % 6]) if i % 5 else float("inf") for i in range(30)]
+    calls = spark.createDataFrame([(i, list(map(float, matrix[i])), reaches[i], 1) for i in range(30)]
+                                  + [(99, [1e4] * 16, 2.0, 1)], "site long, v array<double>, reach double, block int")
+    seen = {r["site"]: r for r in _visit(calls, pack_blocks(sites), 4).collect()}
+    assert 99 not in seen  # nothing is that near to it
+    for i in range(30):
+        order = np.argsort(gaps[i])[:min(4, i % 6 + 1) if i % 5 else 4]
+        assert np.allclose(seen[i]["near"], gaps[i][order]) and seen[i]["copies"] == [int(j) + 1 for j in order]
+
+
+@pytest.mark.parametrize("dimensions,digits", [(1, 1), (2, 1), (16, 9)])
+def test_spanning_edges_of_a_block_by_exact_arithmetic(dimensions, digits):
+    from textquarry.operators.blocks import distances
+    from textquarry.operators.spatial import spanning_edges
+
+    matrix = np.round(blobs(150, 4, dimensions, 0.4, 2), digits) + 1000.0
+    core = brute.core_distances(matrix, 3)
+    a, b, w = spanning_edges(matrix, core)
+    inside, best = np.arange(150) == 0, np.full(150, np.inf)
+    at = 0
+    for i in range(149):
+        best = np.minimum(best, np.maximum(distances(matrix[at:at + 1], matrix)[0], np.maximum(core, core[at])))
+        at = int(np.argmin(np.where(inside, np.inf, best)))
+        assert b[i] == at and w[i] == best[at] and inside[a[i]]
+        inside[at] = True
