@@ -305,3 +305,27 @@ def test_spanning_edges_of_a_block_by_exact_arithmetic(dimensions, digits):
         at = int(np.argmin(np.where(inside, np.inf, best)))
         assert b[i] == at and w[i] == best[at] and inside[a[i]]
         inside[at] = True
+
+
+def test_distance_sums_keep_their_digits_and_come_in_bounded_frames():
+    from textquarry.operators.blocks import distance_tiles
+
+    source = np.random.default_rng(5)
+    matrix = source.normal(size=(1500, 8)) + 1e4
+    matrix[1::3] = matrix[::3][:500] + source.normal(size=(500, 8)) * 1e-6
+    matrix[2::3] = matrix[::3][:500]
+    labels, ids = source.integers(0, 300, 1500), np.arange(1500)
+    gaps = brute.distances(matrix)
+    whole = np.full((1500, 1500), np.nan)
+    for rows, cols, tile in distance_tiles(matrix, matrix):
+        whole[rows, cols] = tile
+    assert np.allclose(whole, gaps, rtol=1e-8, atol=0)
+    member = np.eye(300)[labels]
+    sides = [(ids[part], matrix[part], labels[part]) for part in (slice(0, 700), slice(700, 1500))]
+    total = np.zeros((1500, 300))
+    for same, left, right in ((True, sides[0], sides[0]), (False, *sides), (True, sides[1], sides[1])):
+        for frame in metrics._silhouette_kernel(0, same, left, right):
+            assert frame["other"].nunique() <= metrics.CLUSTERS
+            np.add.at(total, (frame["query_id"], frame["other"]), frame["total"])
+            assert (labels[frame["query_id"]] == frame["cluster"]).all()
+    assert np.allclose(total, gaps @ member, rtol=1e-8, atol=0)

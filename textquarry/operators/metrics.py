@@ -6,6 +6,8 @@ is left out of every score.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,12 +17,16 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.scores import euclidean, homogeneity_band, separation_band
 from textquarry.operators.blocks import (
-    BLOCK_SIZE, block_pairs, distance_strips, distances, run_kernel)
+    BLOCK_SIZE, block_pairs, distance_tiles, distances, run_kernel)
 from textquarry.session import materialise
 
 NOISE = -1
 SAMPLE_SEED = 42
 TIGHTEST = 5
+#: Clusters of a block whose sums are held at a time.
+CLUSTERS = 128
+#: Centroids in a block: the matrix of two such blocks is held whole.
+CENTROIDS = 4096
 
 
 def clustered_only(points: DataFrame) -> DataFrame:
@@ -63,9 +69,9 @@ def _spread(points: DataFrame) -> DataFrame:
                  F.sum(F.col("distance") * F.col("distance")).alias("within")))
 
 
-def _tightness_kernel(grp, same, left, right) -> pd.DataFrame:
-    total = sum(block.sum() for _, block in distance_strips(left[1], right[1], same))
-    return pd.DataFrame({"cluster": [grp], "total": [total if same else 2.0 * total]})
+def _tightness_kernel(grp, same, left, right) -> Iterator[pd.DataFrame]:
+    total = sum(tile.sum() for _, _, tile in distance_tiles(left[1], right[1]))
+    yield pd.DataFrame({"cluster": [grp], "total": [total if same else 2.0 * total]})
 
 
 def cluster_tightness(points: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
@@ -86,27 +92,44 @@ def tightest_clusters(points: DataFrame, n: int = TIGHTEST) -> DataFrame:
     return cluster_tightness(points).orderBy("tightness", "cluster").limit(n)
 
 
-def _silhouette_kernel(grp, same, left, right) -> pd.DataFrame:
+def _by_clusters(side) -> list[tuple]:
+    """A side (ids, matrix, labels) in parts of CLUSTERS clusters, each sorted by cluster, with
+    the clusters of the part and the place of each row's among them."""
+    ids, matrix, labels = side
+    order = np.argsort(labels, kind="stable")
+    clusters, place = np.unique(labels[order], return_inverse=True)
+    parts = []
+    for first in range(0, len(clusters), CLUSTERS):
+        part = slice(*np.searchsorted(place, [first, first + CLUSTERS]))
+        rows = order[part]
+        parts.append((ids[rows], matrix[rows], labels[rows], clusters[first:first + CLUSTERS], place[part] - first))
+    return parts
+
+
+def _starts(place: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+
+
+def _silhouette_kernel(grp, same, left, right) -> Iterator[pd.DataFrame]:
     """Distance sums of each point of one side to each cluster of the other."""
-    members = []
-    for _, _, labels in (left, right):
-        clusters, column = np.unique(labels, return_inverse=True)
-        member = np.zeros((len(labels), len(clusters)))
-        member[np.arange(len(labels)), column] = 1.0
-        members.append((clusters, member))
-    forward = np.zeros((len(left[0]), len(members[1][0])))
-    backward = np.zeros((len(right[0]), len(members[0][0])))
-    for rows, block in distance_strips(left[1], right[1], same):
-        forward[rows] = block @ members[1][1]
-        if not same:
-            backward += block.T @ members[0][1][rows]
-    sides = [(left, members[1][0], forward)]
-    if not same:
-        sides.append((right, members[0][0], backward))
-    return pd.concat([pd.DataFrame({
-        "query_id": np.repeat(ids, len(clusters)), "cluster": np.repeat(own, len(clusters)),
-        "other": np.tile(clusters, len(ids)), "total": sums.ravel(),
-    }) for (ids, _, own), clusters, sums in sides])
+    parts = _by_clusters(left)
+    others = parts if same else _by_clusters(right)
+    for i, a in enumerate(parts):
+        for j, b in enumerate(others):
+            if same and j < i:
+                continue
+            twice = not same or j > i
+            forward, backward = np.zeros((len(a[0]), len(b[3]))), np.zeros((len(b[0]), len(a[3])))
+            for rows, cols, tile in distance_tiles(a[1], b[1]):
+                starts = _starts(b[4][cols])
+                forward[rows, b[4][cols][starts]] += np.add.reduceat(tile, starts, axis=1)
+                if twice:
+                    starts = _starts(a[4][rows])
+                    backward[cols, a[4][rows][starts]] += np.add.reduceat(tile, starts, axis=0).T
+            for (ids, _, own, _, _), clusters, sums in [(a, b[3], forward), (b, a[3], backward)][:1 + twice]:
+                yield pd.DataFrame({
+                    "query_id": np.repeat(ids, len(clusters)), "cluster": np.repeat(own, len(clusters)),
+                    "other": np.tile(clusters, len(ids)), "total": sums.ravel()})
 
 
 def sampled(points: DataFrame, size: int, seed: int = SAMPLE_SEED) -> DataFrame:
@@ -157,7 +180,7 @@ def silhouette(points: DataFrame) -> DataFrame:
         per_point.agg(F.avg("silhouette").alias("silhouette_score")), points)
 
 
-def _separation_kernel(grp, same, left, right) -> pd.DataFrame:
+def _separation_kernel(grp, same, left, right) -> Iterator[pd.DataFrame]:
     """Per cluster, the worst (S_i + S_j) / d(c_i, c_j) against the other side.
 
     The last matrix column holds the scatter S, the others the centroid.
@@ -169,10 +192,9 @@ def _separation_kernel(grp, same, left, right) -> pd.DataFrame:
     both = a[:, -1][:, None] + b[:, -1][None, :]
     # coinciding centroids add nothing to the index
     ratio = np.divide(both, between, out=np.zeros_like(both), where=between > 0)
-    frames = [pd.DataFrame({"cluster": left[0], "worst": ratio.max(axis=1)})]
+    yield pd.DataFrame({"cluster": left[0], "worst": ratio.max(axis=1)})
     if not same:
-        frames.append(pd.DataFrame({"cluster": right[0], "worst": ratio.max(axis=0)}))
-    return pd.concat(frames)
+        yield pd.DataFrame({"cluster": right[0], "worst": ratio.max(axis=0)})
 
 
 def davies_bouldin(points: DataFrame) -> DataFrame:
@@ -180,7 +202,7 @@ def davies_bouldin(points: DataFrame) -> DataFrame:
     described = _spread(points).select(
         F.col("cluster").cast("long").alias("query_id"),
         F.concat("v", F.array("scatter")).alias("v"))
-    worst = (run_kernel(block_pairs(described), _separation_kernel,
+    worst = (run_kernel(block_pairs(described, block_size=CENTROIDS), _separation_kernel,
                         "cluster long, worst double")
              .groupBy("cluster").agg(F.max("worst").alias("worst")))
     return _only_if_scorable(worst.agg(F.avg("worst").alias("davies_bouldin_index")), points)
