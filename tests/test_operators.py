@@ -153,3 +153,28 @@ def test_profile_keeps_empty_and_repeated_tags(spark):
     row = profiles.cluster_profile(frame).first()
     assert tuple(row) == (-1, 3, ["", "x", "y"], ["a", "bb", "ccc"], 2.0)
     assert profiles.cluster_summary(profiles.cluster_profile(frame)).first()["top_tags"] == ", x, y"
+
+
+def test_repeated_texts_are_neither_shuffled_nor_hashed_twice(spark):
+    from textquarry.operators import duplicates
+
+    rows = [(i, f"n{i % 40}", None, ["t"], f"o{i % 3}", "") for i in range(60)]
+    hashed = duplicates.hashed(spark.createDataFrame(
+        rows, "query_id long, name string, description string, tags array<string>, owner string, query_sql string"), "semantic")
+    found, owners = duplicates.duplicates_of(hashed), duplicates.group_owners(hashed)
+    plans = [frame._jdf.queryExecution().executedPlan().toString() for frame in (found, owners)]
+    assert "SortMergeJoin" not in plans[0] and "Exchange hashpartitioning" not in plans[0]
+    assert "sha1" not in plans[1]
+    assert {r["query_id"] for r in found.collect()} == {*range(20), *range(40, 60)}
+    assert owners.count() == 40
+
+
+def test_every_run_of_spaces_becomes_one_blank(spark):
+    from textquarry.functions import text
+
+    spaces = "\t\n\x0b\x0c\r \x1c\x1f\x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    kept = "!~\x7f\x80\x84\x86\x9f\xa1\u167f\u1681\u1fff\u200b\u2027\u2060\u2fff\u3001\uffff\U0001f600\x00\x1b"
+    rows = [f"a{x}b{x}{y}c {x}d{x} {y}e f" for x in spaces for y in spaces] + [f"a{x} {x}  {x}b" for x in kept]
+    frame = spark.createDataFrame([(r,) for r in rows], "t string")
+    got = [r[0] for r in frame.select(text.collapse_spaces(F.col("t"))).collect()]
+    assert got == ["a b c d e f"] * len(spaces) ** 2 + [f"a{x} {x} {x}b" for x in kept]

@@ -39,8 +39,12 @@ def repeated_hashes(rows: DataFrame) -> DataFrame:
 
 
 def duplicates_of(rows: DataFrame) -> DataFrame:
-    """All rows, first copies included, whose hash is repeated."""
-    repeated = repeated_hashes(rows).select("hash")
+    """All rows, first copies included, whose hash is repeated.
+
+    The repeated hashes are stored first: where they are few, Spark sees it and sends them
+    to the texts, so that no text is shuffled.
+    """
+    repeated = materialise(repeated_hashes(rows).select("hash"), "repeated")
     return rows.join(repeated, "hash", "left_semi").select(*rows.columns)
 
 
@@ -68,6 +72,7 @@ def _hashes(rows: DataFrame) -> DataFrame:
 
 def group_owners(rows: DataFrame) -> DataFrame:
     """Distinct owners of every repeated hash, one per row; no owner, no row."""
+    rows = _hashes(rows)
     owners = rows.where(F.col("owner").isNotNull()).select("hash", "owner").distinct()
     return owners.join(repeated_hashes(rows).select("hash"), "hash", "left_semi")
 
