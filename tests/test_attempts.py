@@ -65,3 +65,24 @@ def test_watermark_settles_gaps_and_drops_state(spark, tmp_path):
     assert (9, "success", 1) in fourth and (10, "success", 1) in fourth and len(fourth) == 4
     _, kept_after = run("e", [(10, 1, 200, later + timedelta(days=3))])
     assert kept == kept_after == 1  # only that of the last id
+
+
+def test_ids_of_a_group_share_one_state(spark, tmp_path):
+    arrived, target, log = (str(tmp_path / n) for n in ("arrived", "target", "log"))
+
+    def run(name, rows):
+        _deliver(spark, arrived, name, rows)
+        query = keep_ledger(spark, arrived, target, log, delay="1 hour")
+        query.awaitTermination()
+        state = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        return sorted(tuple(r) for r in spark.read.parquet(target).collect()), state[-1]
+
+    # the first attempt is missing; every id has a time of its own, three hours apart
+    far = 2 ** 60
+    rows = [(far + key, 1, 404, START + timedelta(hours=3 * key)) for key in range(12)]
+    told, kept = run("a", rows)
+    # the watermark has passed all but the last of them
+    assert told == [(far + key, "not_found", 2) for key in range(11)] and kept == 1
+    told, kept = run("b", [(far + 11, 0, 503, START + timedelta(hours=3 * 11 + 2)),
+                           (far + 12, 0, 503, START + timedelta(hours=3 * 11 + 2))])
+    assert told == [(far + key, "not_found", 2) for key in range(12)] and kept == 1  # of two ids

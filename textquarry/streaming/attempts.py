@@ -14,51 +14,79 @@ from textquarry.operators.ledger import MAX_RETRIES, RETRY_STATUSES, ledger_tota
 ATTEMPTS = "query_id long, attempt int, status int, at timestamp"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_STATE = "retries long, attempt int, outcome string, settled boolean"
+_STATE = ("query_id array<long>, retries array<long>, first array<int>, outcome array<string>, "
+          "settled array<boolean>, until array<long>")
 _OUTCOMES = "query_id long, outcome string, attempts long"
+#: Ids that are equal but for so many last bits have their state kept and updated together.
+GROUP_BITS = 10
 
 
 class _Settling(StatefulProcessor):
-    """One id: which retries were seen, and the first final attempt known.
+    """A group of ids: which retries of each were seen, and its first final attempt known.
 
-    The outcome is settled when all attempts before the final one are known, or when the
-    watermark has passed all that was seen. A settled id only waits for its timer, so that
-    an attempt delivered twice is not told twice; then its state is dropped.
+    The outcome of an id is settled when all attempts before the final one are known, or when
+    the watermark has passed all that was seen. A settled id only waits for its time, so that
+    an attempt delivered twice is not told twice; then it is dropped. The group has one
+    timer, for the id whose time comes first.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("attempts", _STATE)
 
+    def _known(self) -> dict[int, list]:
+        if not self.state.exists():
+            return {}
+        return {entry[0]: list(entry) for entry in zip(*self.state.get())}
+
+    def _keep(self, known: dict[int, list]) -> None:
+        registered = list(self.handle.listTimers())
+        wanted = min((entry[5] for entry in known.values()), default=None)
+        for timer in registered:
+            if timer != wanted:
+                self.handle.deleteTimer(timer)
+        if wanted is None:
+            self.state.clear()
+            return
+        if wanted not in registered:
+            self.handle.registerTimer(wanted)
+        self.state.update(tuple(map(list, zip(*known.values()))))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        retries, first, result, settled = self.state.get() if self.state.exists() else (0, None, None, False)
-        latest = max(self.handle.listTimers(), default=0)
-        until = latest
+        known, touched = self._known(), set()
         for batch in rows:
-            until = max(until, int(batch["until"].max()))
-            for attempt, found in zip(batch["attempt"], batch["outcome"]):
+            for name, attempt, found, until in zip(*(batch[c].tolist() for c in ("query_id", "attempt", "outcome", "until"))):
+                entry = known.setdefault(name, [name, 0, None, None, False, until])
+                touched.add(name)
+                entry[5] = max(entry[5], until)
                 if found == "retry":
-                    retries |= 1 << int(attempt)
-                elif first is None or attempt < first:
-                    first, result = int(attempt), found
-        if until > latest:
-            if latest:
-                self.handle.deleteTimer(latest)
-            self.handle.registerTimer(until)
-        complete = not settled and first is not None and retries & ((1 << first) - 1) == (1 << first) - 1
-        self.state.update((retries, first, result, settled or complete))
-        if complete:
-            yield self._told(key, result, first)
+                    entry[1] |= 1 << attempt
+                elif entry[2] is None or attempt < entry[2]:
+                    entry[2], entry[3] = attempt, found
+        told = []
+        for name in touched:
+            _, retries, first, outcome, settled, _ = entry = known[name]
+            if not settled and first is not None and retries & ((1 << first) - 1) == (1 << first) - 1:
+                entry[4] = True
+                told.append((name, outcome, first + 1))
+        self._keep(known)
+        if told:
+            yield self._told(told)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, first, result, settled = self.state.get()
-        self.state.clear()
-        if first is not None and not settled:
-            yield self._told(key, result, first)
+        known = self._known()
+        # all whose time has come, not only that of the timer
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        over = [entry for entry in known.values() if entry[5] <= now]
+        self._keep({entry[0]: entry for entry in known.values() if entry[5] > now})
+        told = [(name, outcome, first + 1) for name, _, first, outcome, settled, _ in over
+                if first is not None and not settled]
+        if told:
+            yield self._told(told)
 
     @staticmethod
-    def _told(key, result: str, first: int) -> pd.DataFrame:
-        return pd.DataFrame({"query_id": [key[0]], "outcome": [result], "attempts": [first + 1]})
+    def _told(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["query_id", "outcome", "attempts"])
 
     def close(self) -> None:
         pass
@@ -78,7 +106,7 @@ def settled_ids(attempts: DataFrame, delay: str = "1 day", max_retries: int = MA
               .where(F.col("attempt").between(0, max_retries) & F.col("query_id").isNotNull() & F.col("at").isNotNull())
               .select("query_id", "attempt", "at", outcome(max_retries, retry_statuses).alias("outcome"),
                       F.unix_millis("at").alias("until")))
-    return judged.groupBy("query_id").transformWithStateInPandas(
+    return judged.withColumn("group", F.shiftright("query_id", GROUP_BITS)).groupBy("group").transformWithStateInPandas(
         _Settling(), outputStructType=_OUTCOMES, outputMode="Append", timeMode="EventTime")
 
 
