@@ -178,3 +178,13 @@ def test_every_run_of_spaces_becomes_one_blank(spark):
     frame = spark.createDataFrame([(r,) for r in rows], "t string")
     got = [r[0] for r in frame.select(text.collapse_spaces(F.col("t"))).collect()]
     assert got == ["a b c d e f"] * len(spaces) ** 2 + [f"a{x} {x} {x}b" for x in kept]
+
+
+def test_a_text_is_split_once_for_its_shingles(spark):
+    from textquarry.operators.near import shingles
+
+    frame = spark.createDataFrame([("a b c d e f",), ("a b",), ("",)], "t string").select(shingles(F.col("t")).alias("s"))
+    # an array and its size, not once more for each shingle
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    expected = spark.sql("SELECT array(xxhash64('a b c d e'), xxhash64('b c d e f')), array(xxhash64('a b'))").first()
+    assert [r["s"] for r in frame.collect()] == [*expected, []]

@@ -16,10 +16,13 @@ SHINGLE = 5
 def shingles(text: Column, size: int = SHINGLE) -> Column:
     """Distinct hashes of ``size`` words in a row; a shorter text is one shingle, an
     empty one has none."""
-    words = F.split(text, " ")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
-    found = F.array_distinct(F.transform(
-        starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " "))))
+    def of_words(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
+        return F.array_distinct(F.transform(
+            starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " "))))
+
+    # bound by a lambda of its own, so that a text is split once and not for every shingle
+    found = F.transform(F.array(F.split(text, " ")), of_words)[0]
     return F.when(text == "", F.array().cast("array<long>")).otherwise(found)
 
 
