@@ -5,6 +5,7 @@ from collections import Counter
 import cases
 import numpy as np
 from textquarry.llm import near_dedup
+from textquarry.operators import linking
 from textquarry.operators.linking import components
 
 
@@ -87,3 +88,37 @@ def test_components_of_a_long_path(spark):
     random.Random(0).shuffle(edges)
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["comp"] for r in found} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_shared_numbers_of_blocks():
+    source = np.random.default_rng(1)
+
+    def side(count):
+        bags = [source.choice(3000, source.integers(0, 200), replace=False) ** 2 for _ in range(count)]
+        bags = [np.unique(np.concatenate([b, source.integers(-40, 0, 60)])) for b in bags]
+        return bags, [np.array([len(b) for b in bags]), np.concatenate(bags)]
+
+    (a, left), (b, right) = side(90), side(70)
+    expected = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert (linking.shared_numbers(left, right) == expected).all()
+
+
+def test_a_large_family_of_unlinked_texts_makes_no_row_for_every_pair(spark, monkeypatch):
+    source = random.Random(8)
+    base = [f"w{source.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for number in range(240):
+        words = list(base)
+        for at in source.sample(range(150), 4 if number % 3 else 1):
+            words[at] = f"new{source.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    asked = []
+    verified = linking._verified
+    monkeypatch.setattr(linking, "_verified", lambda pairs, *more: asked.append(pairs.count()) or verified(pairs, *more))
+    for nodes in (2048, 50):
+        monkeypatch.setattr(linking, "BLOCK_NODES", nodes)
+        asked.clear()
+        found = near_dedup.near_duplicates(cases.plain(spark, rows)).collect()
+        assert sorted((r["doc_id"], r["class_id"]) for r in found) == brute(rows)
+        assert sum(asked) <= 8 * len(rows)

@@ -10,11 +10,11 @@ so those after the latest needed are never made.
 
 Signatures are banded; documents that share a band are candidates. Two bits of every
 component tell most pairs apart that are much less alike than asked. In each band
-group a few pivots are compared with all members that are not yet known to be of
-the pivot's class, then eight times as many, until a group is of one class or
-every pair has been compared. So a large group of copies costs a few comparisons
-a member, and no pair that shares a band is left out. Comparisons count the
-overlap of the whole bags. Classes are connected components.
+group a pivot is compared with all members, then small groups pair by pair and larger
+ones that are not yet of one class by blocks of members (``operators.linking``). So a
+large group of copies costs a few comparisons a member, and no pair that shares a band
+is left out. Comparisons count the overlap of the whole bags. Classes are connected
+components.
 """
 
 from __future__ import annotations
