@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from textquarry.operators import layout
 from textquarry.operators.embedding import reduce_dimensions
 from textquarry.operators.layout import edge_weights, lay_out, neighbour_graph
 from textquarry.plans import tables
@@ -84,3 +86,26 @@ def test_awkward_points(spark):
     rows = lay_out(mixed, 2, k=3).collect()
     assert len(rows) == 40 and len({tuple(r["v"]) for r in rows}) == 5
     assert all(np.isfinite(r["v"]).all() for r in rows)
+
+
+def test_neighbours_in_a_block_need_few_exact_distances(monkeypatch):
+    class Packs:
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, near, schema):
+            return near
+
+    matrix = np.random.default_rng(5).normal(size=(700, 16)).round(1)
+    ids = np.random.default_rng(6).permutation(700)
+    gaps = np.sqrt(((matrix[:, None, :] - matrix[None, :, :]) ** 2).sum(axis=2))
+    np.fill_diagonal(gaps, np.inf)
+    cells, exact = [], layout.distances
+    monkeypatch.setattr(layout, "distances", lambda a, b: cells.append(len(a) * len(b)) or exact(a, b))
+    block = pd.DataFrame({"sites": [ids], "flat": [matrix.ravel()]})
+    found = pd.concat(layout._near_in_blocks(Packs(), 5)(iter([block])))
+    assert sum(cells) < 700 * 700 / 4
+    place = {number: at for at, number in enumerate(ids)}
+    for site, near in found.groupby("site"):
+        assert np.allclose(near["distance"], np.sort(gaps[place[site]])[:5])
+    assert len(found) == 3500

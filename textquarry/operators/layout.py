@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from textquarry.operators.blocks import distances
 from textquarry.operators.density import distinct_sites
 from textquarry.operators.embedding import REDUCED_DIMENSIONS, reduce_dimensions
-from textquarry.operators.spatial import BLOCK_ROWS, block_matrix, pack_blocks, partition_sites
+from textquarry.operators.spatial import (
+    BLOCK_ROWS, block_matrix, first_in_rows, hits, pack_blocks, partition_sites, squares)
 from textquarry.session import materialise
 
 NEIGHBOURS = 15
@@ -62,16 +63,20 @@ def _near_in_blocks(packs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 ids = np.asarray(row.sites)
-                order = np.argsort(ids)  # so that a stable sort settles ties by id
+                order = np.argsort(ids)  # so that places settle ties by id
                 ids, matrix = ids[order], block_matrix(row)[order]
                 wanted = min(k, len(ids) - 1)
                 for start in range(0, len(ids) if wanted else 0, STRIP):
-                    gaps = distances(matrix[start:start + STRIP], matrix)
-                    gaps[np.arange(len(gaps)), start + np.arange(len(gaps))] = np.inf
-                    index = np.argsort(gaps, axis=1, kind="stable")[:, :wanted]
-                    yield pd.DataFrame({
-                        "site": np.repeat(ids[start:start + STRIP], wanted), "neighbour": ids[index].ravel(),
-                        "distance": np.take_along_axis(gaps, index, axis=1).ravel()})
+                    part = matrix[start:start + STRIP]
+                    rough, off = squares(part, matrix)
+                    rough[np.arange(len(part)), start + np.arange(len(part))] = np.inf
+                    kth = np.partition(rough, wanted - 1, axis=1)[:, wanted - 1]
+                    at, other, gaps = hits(part, matrix, np.sqrt(np.maximum(kth + 2 * off, 0.0)))
+                    apart = other != at + start
+                    at, other, gaps = at[apart], other[apart], gaps[apart]
+                    kept = first_in_rows(at, np.lexsort((other, gaps, at)), wanted)
+                    yield pd.DataFrame({"site": ids[start + at[kept]], "neighbour": ids[other[kept]],
+                                        "distance": gaps[kept]})
 
     return packs.select("block", "sites", "flat").mapInPandas(near, _EDGES)
 
