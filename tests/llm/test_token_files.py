@@ -35,6 +35,24 @@ def test_added_tokens_are_found_first():
         text, add_special_tokens=False).ids
 
 
+def test_known_words_are_not_split_again(monkeypatch):
+    split = []
+    found = token_files.ASCII_PARTS
+    monkeypatch.setattr(token_files, "ASCII_PARTS", lambda text: split.append(text) or found(text))
+    tokenize = token_files.word_tokenizer(PATH)
+    once = tokenize("don't panic, panic, 42!").tolist()
+    seen = len(split)
+    assert tokenize("Don't PANIC, 42!  panic,").tolist() != once and len(split) == seen
+
+
+def test_separators_and_a_full_memory(monkeypatch):
+    monkeypatch.setattr(token_files, "MOST_WORDS", 3)
+    library = Tokenizer.from_file(PATH)
+    tokenize = token_files.word_tokenizer(PATH)
+    for text in ("a\x1cb !\x1d! é\x1f", "\x85a\u00a0b\u3000c\u2028d", "one two, three's four\x01 日本 five six é7", "one two"):
+        assert tokenize(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("tokens", [50, 1 << 20])
 def test_files_in_document_order(spark, monkeypatch, tokens):
     monkeypatch.setattr(token_files, "SEGMENT_TOKENS", tokens)

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import struct
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,14 +35,15 @@ SEGMENT_TOKENS = 1 << 20
 #: Bound of the words whose ids a task keeps.
 MOST_WORDS = 350_000
 
-#: Fixed value: how tokens that end a word are written in such a vocabulary.
-END_OF_WORD = "</w>"
 # Fixed value: the parts of a text in lower case, none of which reaches over white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 PARTS = regex.compile(SPLIT).findall
 ASCII_PARTS = re.compile(SPLIT.replace(r"\p{L}+", "[a-z]+").replace(r"\p{N}|", "[0-9]|")
                          .replace(r"\p{L}\p{N}", "a-z0-9"), re.ASCII).findall
 
+# Fixed value: what str.split takes for white space and the parts do not.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
 Tokenize = Callable[[str], np.ndarray]
 
 
@@ -130,55 +132,64 @@ def open_segment(payload: bytes) -> tuple[list, np.ndarray, Codes]:
     return doc_ids, lengths, Codes(payload[8 + 13 * count:])
 
 
+class _Known(dict):
+    """Packed ids of the words a task has met, made once each; all go beyond a bound."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > MOST_WORDS:
+            self.clear()
+        ids = self[word] = self.make(word)
+        return ids
+
+
 def word_tokenizer(path: str) -> Tokenize:
     """Ids by the tokenizers library, from its JSON file.
 
-    The parts a text is split into are encoded apart from each other, so known
-    ones are looked up and what is new in a text is encoded by one call. A text
+    The parts a text is split into are encoded apart from each other, and none reaches
+    over white space: known words are looked up, a new one is split, and the library's
+    model encodes those of its parts that are new. A text
     that spells out an added token is encoded whole, as the library looks for
     those first, and so is one whose lower case depends on more than its letters.
     """
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     library = Tokenizer.from_file(path)
+    model = library.model
     added = [t.content for t in library.get_added_tokens_decoder().values()]
-    vocabulary = library.get_vocab()
-    ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-    ends[[number for token, number in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
+    # bytes that can be shown stand for themselves in a vocabulary, the others for further letters in order
+    alphabet = set(ByteLevel.alphabet())
+    hidden = [byte for byte in range(256) if chr(byte) not in alphabet]
+    letters = dict(zip(hidden, sorted(letter for letter in alphabet if ord(letter) > 255)))
 
     def encode(text: str) -> np.ndarray:
         return np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    known: dict[str, bytes] = {}
-
-    def meet(parts: list[str]) -> None:
-        """Learn the new parts of a text by one call, as each of them ends with the
-        only token of its that ends a word."""
-        if len(known) > MOST_WORDS:
-            known.clear()
-        new = list(set(parts).difference(known))
-        if not new:
-            return
-        ids = encode(" ".join(new))
-        cuts = np.flatnonzero(ends[ids]) + 1
-        if len(cuts) != len(new):
-            known.update((part, encode(part).tobytes()) for part in new)
-            return
-        packed = ids.tobytes()
-        stops = (4 * cuts).tolist()
-        known.update((part, packed[begin:end]) for part, begin, end in zip(new, [0, *stops], stops))
+    def part_ids(part: str) -> bytes:
+        shown = part.isascii() and part.isprintable()
+        spelled = part if shown else part.encode().decode("latin-1").translate(letters)
+        return array("I", [token.id for token in model.tokenize(spelled)]).tobytes()
+
+    def word_ids(word: str) -> bytes:
+        if not word.isascii():
+            return b"".join(map(parts.__getitem__, PARTS(word)))
+        # letters alone are one part
+        return parts[word] if word.isalpha() else b"".join(map(parts.__getitem__, ASCII_PARTS(word)))
+
+    parts, words = _Known(part_ids), _Known(word_ids)
 
     def tokenize(text: str) -> np.ndarray:
         if any(token in text for token in added):
             return encode(text)
-        if text.isascii():
-            parts = ASCII_PARTS(text.lower())
-        elif "\u0130" in text or "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
+        if not text.isascii() and ("\u0130" in text or "\u03a3" in text or not unicodedata.is_normalized("NFC", text)):
             return encode(text)  # these letters change with their neighbours in lower case
-        else:
-            parts = PARTS(text.lower())
-        meet(parts)
-        return np.frombuffer(b"".join(map(known.__getitem__, parts)), dtype="<u4")
+        if any(mark in text for mark in SEPARATORS):
+            return encode(text)
+        return np.frombuffer(b"".join(map(words.__getitem__, text.lower().split())), dtype="<u4")
 
     return tokenize
 
