@@ -307,6 +307,35 @@ def test_spanning_edges_of_a_block_by_exact_arithmetic(dimensions, digits):
         inside[at] = True
 
 
+@pytest.mark.parametrize("apart,dimensions,digits", [(0, 2, 1), (0.5, 5, 9), (3, 3, 1), (40, 2, 9)])
+def test_crossing_edges_complete_the_tree_and_look_at_near_rows_only(monkeypatch, apart, dimensions, digits):
+    from textquarry.operators import spatial
+
+    matrix = np.round(blobs(300, 3, dimensions, 0.4, 7), digits) + 1000.0
+    matrix[170:, 0] += np.ptp(matrix[:, 0]) * (apart > 3) + apart
+    core = brute.core_distances(matrix, 3)
+    sides = [(matrix[part], core[part], *spatial.spanning_edges(matrix[part], core[part]))
+             for part in (slice(0, 170), slice(170, 300))]
+    looked = []
+    nearest = spatial._Across.nearest
+    monkeypatch.setattr(spatial._Across, "nearest", lambda self, rows, *more: looked.extend(rows) or nearest(self, rows, *more))
+    a, b, w = spatial.crossing_edges(*sides)
+    edges = [*zip(w, a, b + 170), *zip(sides[0][4], *sides[0][2:4]), *zip(sides[1][4], *(x + 170 for x in sides[1][2:4]))]
+    link, lengths = list(range(300)), []
+
+    def root(i):
+        while link[i] != i:
+            i = link[i]
+        return i
+
+    for length, i, j in sorted(edges):
+        if root(i) != root(j):
+            link[root(i)] = root(j)
+            lengths.append(length)
+    assert lengths == sorted(spatial.spanning_edges(matrix, core)[2])
+    assert apart < 40 or (len(w) == 1 and len(looked) <= 300)
+
+
 def test_distance_sums_keep_their_digits_and_come_in_bounded_frames():
     from textquarry.operators.blocks import distance_tiles
 
