@@ -336,6 +336,15 @@ def test_crossing_edges_complete_the_tree_and_look_at_near_rows_only(monkeypatch
     assert apart < 40 or (len(w) == 1 and len(looked) <= 300)
 
 
+@pytest.mark.parametrize("rung_edges", [0, 100])
+def test_links_are_followed_in_one_task_or_in_joins(spark, rung_edges):
+    from textquarry.operators.density import _climb
+
+    up = {i: max(i - 2, 0) for i in range(40)} | {50: 50, 51: 50, 52: 60}
+    found = _climb(spark.createDataFrame(list(up.items()), "node long, at long"), rung_edges).collect()
+    assert {r["node"]: r["at"] for r in found} == {i: 0 for i in range(40)} | {50: 50, 51: 50, 52: 60}
+
+
 def test_distance_sums_keep_their_digits_and_come_in_bounded_frames():
     from textquarry.operators.blocks import distance_tiles
 
