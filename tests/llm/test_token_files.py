@@ -1,3 +1,5 @@
+import functools
+
 import hypothesis.strategies as st
 import numpy as np
 import public_tokenizers
@@ -53,6 +55,43 @@ def test_separators_and_a_full_memory(monkeypatch):
         assert tokenize(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_looked_up_once_for_many_texts(monkeypatch):
+    class Counted(token_files._Known):
+        def __getitem__(self, word):
+            looked_up.append(word)
+            return super().__getitem__(word)
+
+    looked_up = []
+    monkeypatch.setattr(token_files, "_Known", Counted)
+    tokenizer = token_files.word_tokenizer(PATH)
+    texts = ["one two one", "", "TWO\u00a0x \x1c One\n", "Stra\u00dfe \u00c9t\u00e9 \u00e9t\u00e9", "\u0130 \u03a3 one",
+             "e\u0301 one", "a<|endoftext|>b", " \t", "one two " * 500]
+    found = tokenizer.many(texts)
+    library = Tokenizer.from_file(PATH)
+    assert [ids.tolist() for ids in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    # as a word, as its part and as a part of another word
+    assert looked_up.count("two") <= 3 and looked_up.count("one") <= 2
+
+
+@functools.cache
+def fuzzed():
+    return Tokenizer.from_file(PATH), token_files.word_tokenizer(PATH)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="abcDEé İßΣ.,'!0 \n\t\x0b\x0c\x1c\x85\u00a0\u2028日\u0301Ⅷ²\u212aǅ", max_size=40), max_size=8),
+       st.integers(1, 60))
+def test_groups_like_the_library(texts, characters):
+    library, tokenizer = fuzzed()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_files, "GROUP_CHARACTERS", characters)
+        groups = list(token_files._groups(texts))
+    assert [t for group in groups for t in group] == texts
+    assert all(len(group) == 1 or sum(map(len, group)) <= characters for group in groups)
+    found = [ids.tolist() for group in groups for ids in tokenizer.many(group)]
+    assert found == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("tokens", [50, 1 << 20])
 def test_files_in_document_order(spark, monkeypatch, tokens):
     monkeypatch.setattr(token_files, "SEGMENT_TOKENS", tokens)

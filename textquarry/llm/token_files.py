@@ -17,10 +17,12 @@ import re
 import struct
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,6 +36,8 @@ BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
 #: Bound of the words whose ids a task keeps.
 MOST_WORDS = 350_000
+#: Characters of the texts that are split together; a longer text is split alone.
+GROUP_CHARACTERS = 4_000_000
 
 # Fixed value: the parts of a text in lower case, none of which reaches over white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -41,9 +45,6 @@ PARTS = regex.compile(SPLIT).findall
 ASCII_PARTS = re.compile(SPLIT.replace(r"\p{L}+", "[a-z]+").replace(r"\p{N}|", "[0-9]|")
                          .replace(r"\p{L}\p{N}", "a-z0-9"), re.ASCII).findall
 
-# Fixed value: what str.split takes for white space and the parts do not.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
-
 Tokenize = Callable[[str], np.ndarray]
 
 
@@ -146,52 +147,85 @@ class _Known(dict):
         return ids
 
 
-def word_tokenizer(path: str) -> Tokenize:
-    """Ids by the tokenizers library, from its JSON file.
+class WordTokenizer:
+    """Ids by the tokenizers library, from its JSON file; of one text or of many.
 
     The parts a text is split into are encoded apart from each other, and none reaches
-    over white space: known words are looked up, a new one is split, and the library's
-    model encodes those of its parts that are new. A text
+    over white space: texts are split into words together, each distinct word is looked up
+    once, a new one is split, and the library's model encodes those of its parts that are new. A text
     that spells out an added token is encoded whole, as the library looks for
     those first, and so is one whose lower case depends on more than its letters.
     """
-    from tokenizers import Tokenizer
-    from tokenizers.pre_tokenizers import ByteLevel
-
-    library = Tokenizer.from_file(path)
-    model = library.model
-    added = [t.content for t in library.get_added_tokens_decoder().values()]
-    # bytes that can be shown stand for themselves in a vocabulary, the others for further letters in order
-    alphabet = set(ByteLevel.alphabet())
-    hidden = [byte for byte in range(256) if chr(byte) not in alphabet]
-    letters = dict(zip(hidden, sorted(letter for letter in alphabet if ord(letter) > 255)))
 
-    def encode(text: str) -> np.ndarray:
-        return np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def part_ids(part: str) -> bytes:
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # bytes that can be shown stand for themselves in a vocabulary, the others for further letters in order
+        alphabet = set(ByteLevel.alphabet())
+        hidden = [byte for byte in range(256) if chr(byte) not in alphabet]
+        self.letters = dict(zip(hidden, sorted(letter for letter in alphabet if ord(letter) > 255)))
+        self.parts, self.words = _Known(self._part_ids), _Known(self._word_ids)
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [self._encoded_whole(text) for text in texts]
+        # white space and letters beyond ASCII are left to the words
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(
+            ["" if alone else text for text, alone in zip(texts, whole)], pa.string())))
+        found = split.flatten().dictionary_encode()
+        packed = list(map(self.words.__getitem__, found.dictionary.to_numpy(zero_copy_only=False)))
+        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        known = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()),
+                                         pa.array(np.frombuffer(b"".join(packed), "<u4")))
+        ids = known.take(found.indices).flatten().to_numpy()
+        ends = np.append(0, np.cumsum(lengths[found.indices.to_numpy()]))[split.offsets.to_numpy()]
+        return [self._encode(text) if alone else ids[begin:end]
+                for text, alone, begin, end in zip(texts, whole, ends, ends[1:])]
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _encoded_whole(self, text: str) -> bool:
+        if any(token in text for token in self.added):
+            return True
+        # these letters change with their neighbours in lower case
+        return not text.isascii() and ("\u0130" in text or "\u03a3" in text
+                                       or not unicodedata.is_normalized("NFC", text))
+
+    def _part_ids(self, part: str) -> bytes:
         shown = part.isascii() and part.isprintable()
-        spelled = part if shown else part.encode().decode("latin-1").translate(letters)
-        return array("I", [token.id for token in model.tokenize(spelled)]).tobytes()
+        spelled = part if shown else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [token.id for token in self.model.tokenize(spelled)]).tobytes()
 
-    def word_ids(word: str) -> bytes:
+    def _word_ids(self, word: str) -> bytes:
         if not word.isascii():
-            return b"".join(map(parts.__getitem__, PARTS(word)))
+            return b"".join(map(self.parts.__getitem__, PARTS(word.lower())))
         # letters alone are one part
-        return parts[word] if word.isalpha() else b"".join(map(parts.__getitem__, ASCII_PARTS(word)))
+        return self.parts[word] if word.isalpha() else b"".join(map(self.parts.__getitem__, ASCII_PARTS(word)))
+
 
-    parts, words = _Known(part_ids), _Known(word_ids)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of a JSON file, opened."""
+    return WordTokenizer(path)
 
-    def tokenize(text: str) -> np.ndarray:
-        if any(token in text for token in added):
-            return encode(text)
-        if not text.isascii() and ("\u0130" in text or "\u03a3" in text or not unicodedata.is_normalized("NFC", text)):
-            return encode(text)  # these letters change with their neighbours in lower case
-        if any(mark in text for mark in SEPARATORS):
-            return encode(text)
-        return np.frombuffer(b"".join(map(words.__getitem__, text.lower().split())), dtype="<u4")
 
-    return tokenize
+def _groups(texts: Iterable[str]) -> Iterator[list[str]]:
+    """The texts in order, in lists of about ``GROUP_CHARACTERS``."""
+    group, held = [], 0
+    for text in texts:
+        if group and held + len(text) > GROUP_CHARACTERS:
+            yield group
+            group, held = [], 0
+        group.append(text)
+        held += len(text)
+    if group:
+        yield group
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: Callable[[], Tokenize], end_id: int,
@@ -200,7 +234,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: Callable[[], Tokeni
 
     Documents stand in ascending id order, null ids first, rows of one id ordered
     by a hash of the text. Null texts count as empty. Further columns are ignored;
-    an empty table gives files without segments.
+    an empty table gives files without segments. A tokenizer with a method ``many``
+    is given lists of texts.
     """
     text_batches(docs.sparkSession)
     # the key as text too, since pandas would make numbers with nulls among them inexact
@@ -210,6 +245,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: Callable[[], Tokeni
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenize = tokenizer()
+        many = getattr(tokenize, "many", lambda texts: map(tokenize, texts))
         part = TaskContext.get().partitionId()
         end = np.array([end_id], dtype=np.uint32)
         keys: list = []
@@ -221,8 +257,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: Callable[[], Tokeni
                                  "n_tokens": [held], "payload": [segment(keys, texts)]})
 
         for batch in batches:
-            for key, text in zip(batch["key"], batch["text"]):
-                ids = np.concatenate([tokenize(text), end])
+            found = (ids for group in _groups(batch["text"]) for ids in many(group))
+            for key, ids in zip(batch["key"], found):
+                ids = np.concatenate([ids, end])
                 keys.append(None if key is None else int(key))
                 texts.append(ids)
                 held += len(ids)
