@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 import textquarry
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Shuffle files go at the end of the query that made them (Spark 4.1; else when the driver collects garbage).
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -57,12 +59,32 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(frame: DataFrame, label: str) -> DataFrame:
+def materialise(frame: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """The frame as a table in the shared folder, read back.
 
     Cuts the lineage so that it survives lost executors, and replaces size
-    estimates, which multiply with every join of a loop, by real file sizes.
+    estimates, which multiply with every join of a loop, by real file sizes. What was
+    shuffled to make it is deleted once it is written; texts are best stored as ``zstd``.
     """
-    path = scratch_path(frame.sparkSession, label)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    spark = frame.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(CLEANUP_CONF, None)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        frame.write.option("compression", codec).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_CONF)
+        else:
+            spark.conf.set(CLEANUP_CONF, before)
+    stored = spark.read.schema(frame.schema).parquet(path)
+    stored.scratch = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables of :func:`materialise` that nothing made from them will read again."""
+    for frame in stored:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.scratch)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
