@@ -10,13 +10,13 @@ from pyspark.ml.feature import IDFModel, PCAModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import check_mode
+from textquarry.functions.text import check_mode, embedding_text
 from textquarry.operators import embedding, metrics, profiles
 from textquarry.operators.density import (
     MIN_CLUSTER_SIZE, MIN_SAMPLES, NOISE, SELECTION_EPSILON, fit_density)
 from textquarry.operators.embedding import HASHED_DIMENSIONS, REDUCED_DIMENSIONS, Encoder
 from textquarry.operators.placing import ClusterIndex, index_clustering, load_index, place_points
-from textquarry.session import materialise
+from textquarry.session import discard, materialise
 from textquarry.sources import sinks
 
 
@@ -51,7 +51,7 @@ class ClusteringRun:
 
 def _keyed(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The corpus, stored, with a key for each row, and again with it for ``query_id``."""
-    keyed = materialise(corpus.withColumn("_row", F.monotonically_increasing_id()), "corpus")
+    keyed = materialise(corpus.withColumn("_row", F.monotonically_increasing_id()), "corpus", "zstd")
     return keyed, keyed.withColumn("query_id", F.col("_row")).drop("_row")
 
 
@@ -76,6 +76,8 @@ def cluster_corpus(corpus: DataFrame, mode: str, encoder: Encoder | None = None,
     else:
         vectors = embedding.encode(texts, encoder)
     embedded = materialise(vectors, "embedded")
+    if encoder is None:
+        discard(counted)
     reduction = embedding.fit_reduction(embedded, components)
     reduced = materialise(embedding.reduced(embedded, reduction), "reduced")
     members, tree = fit_density(reduced, min_cluster_size, min_samples, epsilon)
@@ -137,14 +139,19 @@ def score_corpus(models: FittedModels, corpus: DataFrame, encoder: Encoder | Non
     """
     if models.parameters["own_encoder"] != (encoder is not None):
         raise ValueError("pass the encoder that the run was made with, and no other")
-    keyed, rows = _keyed(corpus)
-    texts = embedding.mode_texts(rows, models.parameters["mode"])
+    # of the corpus only what is embedded is stored, and no longer than for that
+    read = materialise(corpus.select("query_id", embedding_text(models.parameters["mode"]).alias("text"),
+                                     F.monotonically_increasing_id().alias("_row")), "texts", "zstd")
+    keyed = materialise(read.select("query_id", "_row"), "rows")
+    texts = read.select(F.col("_row").alias("query_id"), "text")
     if encoder is None:
-        vectors = embedding.weighted(
-            embedding.term_counts(texts, models.parameters["dimensions"]), models.weights)
+        counted = embedding.term_counts(texts, models.parameters["dimensions"])
+        vectors = embedding.weighted(counted, models.weights)
     else:
+        counted = None
         vectors = embedding.encode(texts, encoder)
     points = materialise(embedding.reduced(vectors, models.reduction), "reduced")
+    discard(read, *([counted] if counted else []))
     placed = materialise(place_points(points, models.index), "placed")
     pseudo = embedding.pseudo_labels(points.join(placed, "query_id"), models.pseudo)
     found = placed.join(pseudo, "query_id", "left").withColumnRenamed("query_id", "_row")
